@@ -64,6 +64,21 @@ def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hexed(F.col(fp)).alias("fingerprint"), F.col(first).alias("component_id"))
 
 
+def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.pii import KINDS, find, joined
+
+    out, base, spans = find(table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
+    count = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return out.select("doc_id", *[count(k) for k in range(len(KINDS))], F.sha2(joined(F.col(base)), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
+
+
+def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.html_main import extract
+
+    out, text = extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.select("page_id", "url", F.col(text).alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()]
     return {f.__name__: f for f in own}
