@@ -49,6 +49,18 @@ def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.mixing import learn, score
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    language = learn(docs)
+    out, _ = score(docs, language, keep=["doc_id"])
+    return out.select(
+        "doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens", "n_known",
+        F.lit(language.n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte",
+    )
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.pieces import decode, encode
 
