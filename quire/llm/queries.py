@@ -13,6 +13,22 @@ from quire.llm.common import fresh, held_out, table
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.suffix_dedup import repeats
+
+    found = repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["a"].cast("string"), x["b"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        total(F.col("repeated")).alias("n_repeated"),
+        total(F.col("later")).alias("n_later"),
+        text(F.col("repeated")).alias("repeated"),
+        text(F.col("later")).alias("later"),
+    )
+
+
 def op2_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.decontaminate import contaminated, decontaminate
 
