@@ -65,6 +65,12 @@ def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ann import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.mixing import learn, score
 
