@@ -221,7 +221,7 @@ def glob_to_regexp(glob: Column) -> Column:
 
 def origin_allowed(origin: Column, patterns: Column) -> Column:
     """Some pattern matches; a lone wildcard does not count, and no pattern allows nothing."""
-    return F.exists(patterns, lambda p: (trim(p) != "") & (trim(p) != "*") & origin.rlike(glob_to_regexp(trim(p))))
+    return F.exists(patterns, lambda p: (trim(p) != "") & (trim(p) != "*") & F.rlike(origin, glob_to_regexp(trim(p))))
 
 
 def duration(seconds: Column) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.sources import html
@@ -40,19 +40,17 @@ def read(data: bytes) -> tuple[dict, list[dict]]:
 def books(files: DataFrame) -> DataFrame:
     """files (name, content): one row a block, or one with the error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [c.split()[0] for c in ROW.split(", ")]
+    schema = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in ROW.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for name, content in zip(batch["name"], batch["content"], strict=True):
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    meta, found = read(bytes(content))
-                    rows += [{"name": name, **meta, "block_idx": i, "type": b["type"], "content": b["content"], "level": b["level"]} for i, b in enumerate(found)]
-                    if not found:
-                        rows.append({"name": name, **meta, "error": "no readable text"})
+                    meta, found = read(content.as_py() or b"")
+                    rows = [{"name": name, **meta, "block_idx": i, "type": b["type"], "content": b["content"], "level": b["level"]} for i, b in enumerate(found)]
+                    rows = rows or [{"name": name, **meta, "error": "no readable text"}]
                 except Exception as e:  # any damage of a file is that file's error
-                    rows.append({"name": name, "error": f"{type(e).__name__}: {e}"})
-            out = pd.DataFrame(rows, columns=cols)
-            yield out.astype({"block_idx": "Int32", "level": "Int32"})
+                    rows = [{"name": name, "error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("name", "content").mapInPandas(run, ROW)
+    return files.select("name", "content").mapInArrow(run, ROW)

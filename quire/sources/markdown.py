@@ -48,7 +48,7 @@ def math_delimiters(s: str) -> str:
             continue
         if fence is None:
             parts = re.split(r"(`+[^`]*`+)", line)
-            line = "".join(p if k % 2 else re.sub(r"(?<!\\)\\([\[\]])", "$$$$", re.sub(r"(?<!\\)\\([()])", "$", p)) for k, p in enumerate(parts))
+            line = "".join(p if k % 2 else re.sub(r"(?<!\\)\\([\[\]])", "$$", re.sub(r"(?<!\\)\\([()])", "$", p)) for k, p in enumerate(parts))
         out.append(line)
     return "\n".join(out)
 
@@ -186,7 +186,7 @@ def parse(source: str) -> tuple[str | None, list[dict]]:
 
 
 def _parsed(source: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse(s) for s in source], columns=["title", "blocks"])
+    return pd.DataFrame([parse(s) for s in source], columns=["title", "blocks"], dtype=object)
 
 
 def markdown(source: Column) -> Column:

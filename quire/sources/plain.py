@@ -32,7 +32,7 @@ def decode_bytes(data: bytes) -> tuple[str, str, bool]:
 
 
 def _decoded(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode_bytes(bytes(b) if b is not None else b"") for b in content], columns=["text", "encoding", "lossy"])
+    return pd.DataFrame([decode_bytes(bytes(b) if b is not None else b"") for b in content], columns=["text", "encoding", "lossy"], dtype=object)
 
 
 def decoded(content: Column) -> Column:
