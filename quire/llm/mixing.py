@@ -35,7 +35,7 @@ from quire.llm.words import LOWER, NOT_SPACE, U, mix, pieces, raw, words
 
 END = 0xFF
 #: Bits of the slots of the predictors of order 0 to 5 (order 0 and 1 have a slot for each context).
-BITS = (8, 16, 20, 20, 20, 20)
+BITS = (8, 16, 18, 20, 20, 20)
 BASE = np.cumsum([0, *[1 << b for b in BITS]])
 CHUNK = 1 << 13
 GATES = (len(BITS) + 1) * 8
@@ -209,10 +209,10 @@ def _table(grams: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
         cut = [(a, b) for a, b in cut if seen[a:b].any()]
         for i in range(0, len(cut), 32):
             some = cut[i : i + 32]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in some], pa.int32()), pa.array([ones[a:b].tobytes() for a, b in some]), pa.array([seen[a:b].tobytes() for a, b in some])], names=["at", "ones", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in some], pa.int32()), pa.array([ones[a:b].astype(np.float32).tobytes() for a, b in some]), pa.array([seen[a:b].astype(np.float32).tobytes() for a, b in some])], names=["at", "ones", "seen"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = lambda c: np.sum([np.frombuffer(x) for x in part[c]], axis=0).astype(np.float32).tobytes()
+        total = lambda c: np.sum([np.frombuffer(x, np.float32) for x in part[c]], axis=0, dtype=np.float64).astype(np.float32).tobytes()
         return pd.DataFrame({"at": part["at"].iloc[:1], "ones": [total("ones")], "seen": [total("seen")]})
 
     chunks = grams.select("key", "n").coalesce(tasks).mapInArrow(run, "at int, ones binary, seen binary").groupBy("at").applyInPandas(add, "at int, ones binary, seen binary")
@@ -242,6 +242,7 @@ def _weights(grams: DataFrame, model: Mixer, tasks: int, rounds: int) -> np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([m.weights.tobytes()])], names=["n", "w"])
 
     got = grams.select("key", "n").coalesce(tasks).mapInArrow(run, "n double, w binary").collect()
+    sent.destroy()  # else each worker keeps its copy of the tables on disk
     if not got:
         return model.weights
     return sum(r["n"] * np.frombuffer(r["w"]).reshape(model.weights.shape) for r in got) / sum(r["n"] for r in got)
@@ -265,6 +266,7 @@ def _refined(grams: DataFrame, model: Mixer, tasks: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["t"])
 
     got = grams.select("key", "n").coalesce(tasks).mapInArrow(run, "t binary").collect()
+    sent.destroy()
     ones, seen = np.sum([np.frombuffer(r["t"]).reshape(2, 256, BUCKETS) for r in got], axis=0) if got else np.zeros((2, 256, BUCKETS))
     prior = 1 / (1 + np.exp(-(np.arange(BUCKETS) - 16.0)))
     p = (ones + 20 * prior) / (seen + 20)
@@ -346,6 +348,7 @@ def score(docs: DataFrame, language: Language, text: str = "text", keep: list[st
     # the rows' numbers are fixed once they are written
     done = with_columns(src.withColumn(row, F.monotonically_increasing_id()), run, [T.StructField(names[n], t) for n, t in RESULT])
     done = written(done.select(*keep, row, *[names[n] for n, _ in RESULT]), "scores")
+    sent.destroy()
     each = done.select(F.col(row).alias("_r"), F.explode(rest).alias("x")).select("_r", "x.key", "x.tf")
     met = each.join(language.tokens, "key").groupBy("_r").agg(F.sum("tf").alias("_known"), F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias("_logs"))
     both = done.join(met, done[row] == met["_r"], "left")
