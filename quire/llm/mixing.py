@@ -42,6 +42,8 @@ GATES = (len(BITS) + 1) * 8
 FORMS = (0.8, 1.0, 1.25)
 FREQUENT = 1 << 18
 BATCH_BYTES = 1 << 20
+#: Scored at once: the more, the more contexts are equal.
+SCORE_BYTES = 4 << 20
 END_TOKEN = -0x61C8864680B583EB
 BUCKETS = 33
 
@@ -90,6 +92,8 @@ class Mixer:
     seen: np.ndarray
     weights: np.ndarray
     refined: np.ndarray | None = None
+    logits: np.ndarray | None = None  # of each slot, and whether it has been seen, once nothing is learned any more
+    known: np.ndarray | None = None
 
     @classmethod
     def fresh(cls, ones: np.ndarray, seen: np.ndarray) -> Mixer:
@@ -97,12 +101,22 @@ class Mixer:
 
     def inputs(self, slot: np.ndarray, bit: np.ndarray, own: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the predictors, and the gates.  own: occurrences of this very event to take out of the counts."""
+        if self.logits is not None:
+            return self.logits[slot], self.known[slot].sum(axis=2, dtype=np.int64) * 8 + np.arange(8)
         seen = self.seen[slot] - np.float32(own)
         ones = self.ones[slot] - np.float32(own) * bit[:, :, None]
-        logit = np.log((ones + np.float32(0.1)) / (seen - ones + np.float32(0.1)))
-        logit *= seen / (seen + np.float32(0.5))
         gate = (seen > 0.5).sum(axis=2) * 8 + np.arange(8)
-        return logit, gate
+        return self.logit(ones, seen), gate
+
+    @staticmethod
+    def logit(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        out = np.log((ones + np.float32(0.1)) / (seen - ones + np.float32(0.1)))
+        return out * (seen / (seen + np.float32(0.5)))
+
+    def frozen(self) -> Mixer:
+        """For scoring: the same predictions from one table."""
+        none = np.zeros(0, np.float32)
+        return Mixer(none, none, self.weights, self.refined, self.logit(self.ones, self.seen), self.seen > 0.5)
 
     def mixed(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ijk,ijk->ij", logit, self.weights.astype(np.float32)[gate]), -16, 16)
@@ -126,14 +140,15 @@ class Mixer:
         """(forms, n) bits that each byte costs."""
         slot, bit = slots(key)
         x = self.refine(self.mixed(*self.inputs(slot, bit)), slot[:, :, 0])
-        wrong = np.where(bit == 1, -x, x).astype(np.float64)
-        return np.stack([np.logaddexp(0, a * wrong).sum(axis=1) for a in FORMS]) / math.log(2)
+        wrong = np.where(bit == 1, -x, x).astype(np.float32)
+        soft = lambda v: np.maximum(v, 0) + np.log1p(np.exp(-np.abs(v)))
+        return np.stack([soft(np.float32(a) * wrong).sum(axis=1, dtype=np.float64) for a in FORMS]) / math.log(2)
 
 
 def predicted_once(model: Mixer, key: np.ndarray) -> np.ndarray:
     """costs(key), equal keys computed once: each key looks at the last position that its hash has."""
-    at = (mix(key) >> U(43)).astype(np.int64)
-    place = np.zeros(1 << 21, np.int32)
+    at = (mix(key) >> U(42)).astype(np.int64)
+    place = np.zeros(1 << 22, np.int32)
     place[at] = np.arange(len(key), dtype=np.int32)
     rep = place[at]
     rep = np.where(key[rep] == key, rep, np.arange(len(key), dtype=np.int32))
@@ -281,8 +296,17 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: i
     counts = written(counts, "counts")
     tokens, grams = (counts.filter(F.col("kind") == k).drop("kind") for k in (0, 1))
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = tokens.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
-    hot_keys, hot_n = np.array([r["key"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64)
+    # the frequent tokens: all whose count is in the highest classes that together are few enough
+    size = lambda n: F.floor(F.log2(n) * 8)
+    classes = sorted(tokens.groupBy(size(F.col("n")).alias("k")).count().collect(), key=lambda r: -r["k"])
+    total, least = 0, None
+    for r in classes:
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r["k"]
+    top = tokens.filter(size(F.col("n")) >= least if least is not None else F.lit(False)).toArrow()
+    hot_keys, hot_n = (top.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
     order = np.argsort(hot_keys)
     tasks = max(2, -(-grams.count() // (1 << 21)))
     model = Mixer.fresh(*_table(grams, tasks))
@@ -306,14 +330,14 @@ def score(docs: DataFrame, language: Language, text: str = "text", keep: list[st
     """The columns `keep` of docs (all but the text, if not given) with n_bytes (the end counted), n_tokens, n_known,
     base_score (log10), score (log10 of the model's probability) and bits_per_byte; and the names of these columns."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    sent = docs.sparkSession.sparkContext.broadcast((language.model, language.hot))
+    sent = docs.sparkSession.sparkContext.broadcast((language.model.frozen(), language.hot))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         model, (hot, hot_n) = sent.value
         data, offsets = raw(strings(batch, text))
         made = [[] for _ in range(5)]
         keys, tfs, sizes = [], [], []
-        for lo, hi in pieces(offsets, BATCH_BYTES):
+        for lo, hi in pieces(offsets, SCORE_BYTES):
             part, rows = offsets[lo : hi + 1], hi - lo
             seq, at = sequences(data, part)
             cost = np.add.reduceat(predicted_once(model, seq), at[:-1], axis=1)
