@@ -43,7 +43,7 @@ FORMS = (0.8, 1.0, 1.25)
 FREQUENT = 1 << 18
 BATCH_BYTES = 1 << 20
 #: Scored at once: the more, the more contexts are equal.
-SCORE_BYTES = 4 << 20
+SCORE_BYTES = 2 << 20
 END_TOKEN = -0x61C8864680B583EB
 BUCKETS = 33
 
