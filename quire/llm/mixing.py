@@ -152,12 +152,13 @@ def predicted_once(model: Mixer, key: np.ndarray) -> np.ndarray:
     place[at] = np.arange(len(key), dtype=np.int32)
     rep = place[at]
     rep = np.where(key[rep] == key, rep, np.arange(len(key), dtype=np.int32))
-    own = np.flatnonzero(rep == np.arange(len(key)))
-    out = np.zeros((len(FORMS), len(key)))
-    for i in range(0, len(own), 1 << 15):
-        part = own[i : i + (1 << 15)]
-        out[:, part] = model.costs(key[part])
-    return out[:, rep]
+    own = np.flatnonzero(rep == np.arange(len(key), dtype=np.int32))
+    place = np.zeros(len(key), np.int32)
+    place[own] = np.arange(len(own), dtype=np.int32)
+    out = np.zeros((len(FORMS), len(own)), np.float32)
+    for i in range(0, len(own), 1 << 14):
+        out[:, i : i + (1 << 14)] = model.costs(key[own[i : i + (1 << 14)]])
+    return out[:, place[rep]]
 
 
 def _counted(text: str):
@@ -340,7 +341,7 @@ def score(docs: DataFrame, language: Language, text: str = "text", keep: list[st
         for lo, hi in pieces(offsets, SCORE_BYTES):
             part, rows = offsets[lo : hi + 1], hi - lo
             seq, at = sequences(data, part)
-            cost = np.add.reduceat(predicted_once(model, seq), at[:-1], axis=1)
+            cost = np.add.reduceat(predicted_once(model, seq), at[:-1], axis=1, dtype=np.float64)
             low = cost.min(axis=0)
             bits = low - np.log2(np.exp2(low - cost).mean(axis=0))
             w = words(data, part, NOT_SPACE)

@@ -280,7 +280,7 @@ def test_mixing_is_a_probability():
     key = (np.uint64(0x1234567890) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
     assert np.allclose(np.exp2(-model.costs(key)).sum(axis=1), 1)
     again = np.concatenate([key, key])
-    assert np.allclose(mixing.predicted_once(model, again), np.concatenate([model.costs(key)] * 2, axis=1))
+    assert np.allclose(mixing.predicted_once(model, again), np.concatenate([model.costs(key)] * 2, axis=1), rtol=1e-5)
 
 
 # 7
