@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
 from quire.llm.common import bounded_batches, partitions, strings, written
 from quire.llm.words import NOT_SPACE, expand, hash_ranges, mix, pieces, raw, words
 
 LEAST = 50
+#: Bits for the number of stretches that choose a place, and for how far before it the first begins.
+PACK = 12
 BATCH_BYTES = 2 << 20
 
 
@@ -52,38 +55,26 @@ def anchors(hashes: np.ndarray, row: np.ndarray, least: int, seed: int) -> tuple
 
 
 def _retained(least: int, seed: int):
-    """Rows (th, id, key, h, m, a, nw): retained suffixes of each text.  m: the place; h: the hash of the words of all
-    stretches that chose it, the first beginning a words before m, and of a and their number nw.  Also a row for each text
-    with nw = -1 and its number of words as m."""
+    """Rows (key, h, th, p): retained suffixes of each text.  h: the hash of the words of all stretches that chose it, the
+    first beginning a words before its place m, and of a and their number nw; p: m, a and nw packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            th, ids = batch.column(0).to_numpy(), batch.column(1)
+            th = batch.column(0).to_numpy()
             data, offsets = raw(strings(batch, "t"))
             for lo, hi in pieces(offsets, BATCH_BYTES):
                 w = words(data, offsets[lo : hi + 1], NOT_SPACE)
                 begin, place, key = anchors(w.hashes, w.row, least, seed)
-                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+                if not len(place):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                 nw = np.diff(np.append(first, len(place)))
                 start, place, key = begin[first], place[first], key[first]
-                back = place - start
-                h = hash_ranges(w.hashes, start, start + nw - 1 + least) ^ mix((back * 1024 + nw).astype(np.uint64)) if len(first) else key
+                a = place - start
+                h = hash_ranges(w.hashes, start, start + nw - 1 + least) ^ mix((a << PACK | nw).astype(np.uint64))
                 row = np.searchsorted(w.row, place, "right") - 1
-                n = hi - lo
-                cat = lambda x, y, t: pa.array(np.concatenate([x, y]).astype(t))
-                zero, own = np.zeros(n, np.int64), lo + np.append(row, np.arange(n))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(th[own]),
-                        ids.take(pa.array(own)),
-                        cat(key.view(np.int64), zero, np.int64),
-                        cat(h.view(np.int64), zero, np.int64),
-                        cat(place - w.row[row], np.diff(w.row), np.int32),
-                        cat(back, zero, np.int32),
-                        cat(nw, zero - 1, np.int32),
-                    ],
-                    names=["th", "id", "key", "h", "m", "a", "nw"],
-                )
+                p = (place - w.row[row]) << (2 * PACK) | a << PACK | nw
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(th[lo + row]), pa.array(p)], names=["key", "h", "th", "p"])
 
     return run
 
@@ -142,15 +133,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     spark = docs.sparkSession
     bounded_batches(spark)
     seed = least // 2 + 1
+    if least >= 1 << PACK:
+        raise ValueError(f"least must be under {1 << PACK}")
     src = docs.select(F.xxhash64(text).alias("th"), F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = written(src.mapInArrow(_retained(least, seed), f"th long, id {kind}, key long, h long, m int, a int, nw int"), "suffixes")
-    texts = rows.filter("nw < 0").select("th", "id", F.col("m").alias("n_words"))
-    once = rows.filter("nw > 0").groupBy("key", "h", "th", "m", "a", "nw").agg(F.min("id").alias("id"))
-    once = written(once, "suffixes")
-    order = ["key", "h", "th", "m"]
+    schema = "key long, h long, th long, p long"
+    once = written(src.select("th", "t").mapInArrow(_retained(least, seed), schema).distinct(), "suffixes")
+    order = ["key", "h", "th", "p"]
     ordered = once.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    alike = written(ordered.mapInArrow(_neighbours, once.schema).drop("key"), "alike")
+    alike = ordered.mapInArrow(_neighbours, schema)
+    bits = lambda n: F.col("p").bitwiseAND(F.lit((1 << PACK) - 1)) if not n else F.shiftright("p", n * PACK).bitwiseAND(F.lit((1 << PACK) - 1))
+    copies = written(src.groupBy("th").agg(F.count("*").alias("copies"), F.min("id").alias("id")), "texts")
+    alike = alike.select("h", "th", F.shiftright("p", 2 * PACK).cast("int").alias("m"), bits(1).cast("int").alias("a"), bits(0).cast("int").alias("nw"))
+    alike = written(alike.join(copies.drop("copies"), "th"), "alike")
     # suffixes that agree over all their stretches are one context; its stretches are hashed once
     context = alike.groupBy("h").agg(F.min(F.struct("id", "th", "m")).alias("f"), F.count("*").alias("n"), F.first("a").alias("a"), F.first("nw").alias("nw"))
     context = written(context, "contexts")
@@ -167,8 +162,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     each = each.select("th", F.sort_array(found).alias("s"))
     runs = each.select("th", _runs(F.transform("s", lambda x: x["j"]), least).alias("all"), _runs(F.transform(F.filter("s", lambda x: x["later"]), lambda x: x["j"]), least).alias("later"))
     spans = runs.groupBy("th").agg(*[_merged(F.sort_array(F.flatten(F.collect_list(c)))).alias(c) for c in ("all", "later")])
-    copies = texts.groupBy("th").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    both = texts.join(copies, "th").join(spans, "th", "left").filter(F.col("all").isNotNull() | ((F.col("copies") > 1) & (F.col("n_words") >= least)))
+    texts = src.select("th", "id", F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words"))
+    both = texts.join(copies.withColumnRenamed("id", "first"), "th").join(spans, "th", "left").filter(F.col("all").isNotNull() | ((F.col("copies") > 1) & (F.col("n_words") >= least)))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n_words").alias("b")))
     none = F.array().cast("array<struct<a:int,b:int>>")
     copied = (F.col("copies") > 1) & (F.col("n_words") >= least)
@@ -182,16 +177,24 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 
 def _runs(j: Column, least: int) -> Column:
     """Spans covered by stretches that begin at the ordered places j."""
-    first = F.filter(j, lambda x, i: (i == 0) | (F.get(j, i - 1) < x - least))
-    last = F.filter(j, lambda x, i: (i == F.size(j) - 1) | (F.get(j, i + 1) > x + least))
-    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b + least).alias("b")))
+
+    def of(j: Column) -> Column:
+        first = F.filter(j, lambda x, i: (i == 0) | (F.get(j, i - 1) < x - least))
+        last = F.filter(j, lambda x, i: (i == F.size(j) - 1) | (F.get(j, i + 1) > x + least))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b + least).alias("b")))
+
+    return let(j, of)  # else the list would be made anew for each of its elements
 
 
 def _merged(spans: Column) -> Column:
     """Ordered spans whose ends are ordered too, merged where they meet."""
-    first = F.filter(spans, lambda x, i: (i == 0) | (F.get(spans, i - 1)["b"] < x["a"]))
-    last = F.filter(spans, lambda x, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["a"] > x["b"]))
-    return F.zip_with(first, last, lambda a, b: F.struct(a["a"].alias("a"), b["b"].alias("b")))
+
+    def of(s: Column) -> Column:
+        first = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["b"] < x["a"]))
+        last = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["a"] > x["b"]))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["a"].alias("a"), b["b"].alias("b")))
+
+    return let(spans, of)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
