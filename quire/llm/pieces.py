@@ -26,7 +26,7 @@ from quire.llm.common import fresh, list_array, with_columns
 MARK = "▁"
 #: Stands for a literal mark while encoding; texts hold it only if they hold lone surrogates, which UTF-8 excludes.
 LITERAL = "\ud800"
-CACHE = 1 << 20
+CACHE = 1 << 19
 #: A byte costs more than any piece: below the worst piece by this much.
 BYTE_PENALTY = 10.0
 
