@@ -27,11 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str, bucket: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: lineage ends here and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/quire/{label}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(bucket) if bucket else out).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
