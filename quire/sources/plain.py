@@ -53,10 +53,13 @@ def file_format(name: Column) -> Column:
 
 def chunks(text: Column) -> Column:
     """Paragraphs between blank lines; with fewer than two of them, the lines, if there are more; blank ones left out."""
-    s = t.trim(F.regexp_replace(t.strip_bom(text), "\r\n?", "\n"))
     full = lambda a: F.filter(F.transform(a, t.trim), lambda x: x != "")
-    paragraphs, lines = full(F.split(s, "\n{2,}")), full(F.split(s, "\n"))
-    return F.when(F.size(paragraphs) > 1, paragraphs).when(F.size(lines) > 1, lines).when(s != "", F.array(s)).otherwise(F.array().cast("array<string>"))
+
+    def cut(s: Column) -> Column:
+        lines = t.let(full(F.split(s, "\n")), lambda l: F.when(F.size(l) > 1, l).when(s != "", F.array(s)).otherwise(F.array().cast("array<string>")))
+        return t.let(full(F.split(s, "\n{2,}")), lambda p: F.when(F.size(p) > 1, p).otherwise(lines))
+
+    return t.let(t.trim(F.regexp_replace(t.strip_bom(text), "\r\n?", "\n")), cut)
 
 
 def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
