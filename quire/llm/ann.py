@@ -6,7 +6,7 @@ neighbours and the nodes it neighbours, compares these with one another, and eac
 of neighbours.  A search holds a beam for each query; each hop joins the nearest unexpanded nodes with the graph, then their
 neighbours with the vectors, and keeps the nearest, until nothing in the beam is unexpanded.
 
-Building compares vectors in half precision; searching is in double precision on the vectors as given.  Every valid vector
+All distances are in double precision on the vectors as given, so vectors of any size can stand in one table.  Every valid vector
 is in the graph.  A query that finds fewer than k is answered by a scan, so small or parted graphs lose nothing.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of
 another length than the most common (of equally common lengths the largest).  Rows that repeat an id and a vector are one;
@@ -32,7 +32,7 @@ BEAM = 320
 EXPAND = 80
 MOST_HOPS = 24
 QUERY_BLOCK = 2048
-NEAR = "array<struct<d:float,u:long>>"
+NEAR = "array<struct<d:double,u:long>>"
 
 
 def usable(v: Column) -> Column:
@@ -40,8 +40,9 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & good & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def valid_vectors(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    some = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).filter(F.col("id").isNotNull() & usable(F.col("x")))
+def valid_vectors(vectors: DataFrame, wanted: Column, vec_id: str, vector: str) -> DataFrame:
+    """(id, x, wanted): the vectors that take part, of one length."""
+    some = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), wanted.alias("wanted")).filter(F.col("id").isNotNull() & usable(F.col("x")))
     size = some.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return some.filter(F.size("x") == (size["n"] if size else 0))
 
@@ -67,7 +68,7 @@ def nodes(valid: DataFrame, k: int) -> DataFrame:
             out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[order][keep]))
             yield pa.RecordBatch.from_arrays([lists.take(pa.array(order[first])), out], names=["x", "ids"])
 
-    part = valid.mapInArrow(run, "x array<double>, ids array<long>")
+    part = valid.select("id", "x").mapInArrow(run, "x array<double>, ids array<long>")
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
     return part.groupBy("x").agg(ids.alias("ids")).select(F.element_at("ids", 1).alias("node"), "x", "ids")
 
@@ -94,10 +95,8 @@ def _grouped(fn: Callable[[list[pa.Array], np.ndarray], pa.RecordBatch], key: st
     return run
 
 
-def _halves(t: pa.Table, col: str) -> np.ndarray:
-    c = t.column(col)
-    data = b"".join(c.to_pylist())
-    return np.frombuffer(data, np.float16).reshape(t.num_rows, -1).astype(np.float32)
+def _vectors(t: pa.Table, col: str) -> np.ndarray:
+    return t.column(col).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).astype(np.float64)
 
 
 def nearest_of(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,16 +112,17 @@ def nearest_of(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def start(points: DataFrame, trees: int, chunk: int, degree: int, seed: int = 11) -> DataFrame:
-    """(u, near): from neighbours in the order of random projections' signs.  points: (node, z) with z half-precision bytes."""
+    """(u, near): from neighbours in the order of random projections' signs.  points: (node, z)."""
+    z = points.schema["z"].dataType.simpleString()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if not t.num_rows:
                 continue
-            x = _halves(t, "z")
+            x = _vectors(t, "z")
             for tree in range(trees):
-                planes = np.random.default_rng([seed, tree]).standard_normal((x.shape[1], 32)).astype(np.float32)
+                planes = np.random.default_rng([seed, tree]).standard_normal((x.shape[1], 32))
                 bits = (x @ planes > 0).astype(np.int64)
                 code = bits @ (1 << np.arange(31, -1, -1, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code), batch.column(0), batch.column(1)], names=["tree", "code", "node", "z"])
@@ -131,9 +131,9 @@ def start(points: DataFrame, trees: int, chunk: int, degree: int, seed: int = 11
         held: pa.Table | None = None
 
         def of(t: pa.Table) -> pa.RecordBatch:
-            x, ids = _halves(t, "z"), t.column("node").to_numpy()
+            x, ids = _vectors(t, "z"), t.column("node").to_numpy()
             k = min(degree, len(ids) - 1)
-            best, d = nearest_of(x, k) if k else (np.zeros((1, 0), np.int64), np.zeros((1, 0), np.float32))
+            best, d = nearest_of(x, k) if k else (np.zeros((1, 0), np.int64), np.zeros((1, 0)))
             flat = pa.StructArray.from_arrays([pa.array(d.ravel()), pa.array(ids[best].ravel())], ["d", "u"])
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(ids) + 1, k or 1, dtype=np.int32) if k else np.zeros(len(ids) + 1, np.int32)), flat)], names=["u", "near"])
 
@@ -147,7 +147,7 @@ def start(points: DataFrame, trees: int, chunk: int, degree: int, seed: int = 11
             yield of(held.combine_chunks())
 
     n = partitions(points.sparkSession)
-    code = written(points.mapInArrow(coded, "tree int, code long, node long, z binary"), "codes")
+    code = written(points.mapInArrow(coded, f"tree int, code long, node long, z {z}"), "codes")
     dealt = code.repartitionByRange(n, "tree", "code", "node").sortWithinPartitions("tree", "code", "node")
     got = dealt.mapInArrow(near, f"u long, near {NEAR}")
     return merged(got.select("u", F.explode("near").alias("x")).select("u", "x"), degree)
@@ -173,10 +173,10 @@ def descend(graph: DataFrame, points: DataFrame, degree: int, best: int = 10) ->
     both = edges.select(F.col("u").alias("v"), F.col("v").alias("u")).union(back).distinct()
     limit = graph.select(F.col("u").alias("node"), F.element_at("near", -1)["d"].alias("worst"), (F.size("near") < degree).alias("few"))
     at = points.join(limit, "node", "left")
-    met = both.join(at, both["u"] == at["node"]).select("v", "u", "z", F.when(F.col("few"), float("inf")).otherwise(F.col("worst")).cast("float").alias("worst"))
+    met = both.join(at, both["u"] == at["node"]).select("v", "u", "z", F.when(F.col("few"), float("inf")).otherwise(F.col("worst")).alias("worst"))
 
     def joined(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
-        x, ids, worst = _halves(t, "z"), t.column("u").to_numpy(), np.nan_to_num(t.column("worst").to_numpy(), nan=np.inf, posinf=np.inf)
+        x, ids, worst = _vectors(t, "z"), t.column("u").to_numpy(), np.nan_to_num(t.column("worst").to_numpy(), nan=np.inf, posinf=np.inf)
         a, b, dist = [], [], []
         for s, e in zip(begin[:-1], begin[1:], strict=True):
             if e - s < 2:
@@ -187,25 +187,18 @@ def descend(graph: DataFrame, points: DataFrame, degree: int, best: int = 10) ->
             b.append(ids[s + near[i, j]])
             dist.append(dd[i, j])
         cat = lambda v, t: pa.array(np.concatenate(v) if v else np.zeros(0, t))
-        return pa.RecordBatch.from_arrays([cat(a, np.int64), cat(dist, np.float32), cat(b, np.int64)], names=["u", "d", "v"])
+        return pa.RecordBatch.from_arrays([cat(a, np.int64), cat(dist, np.float64), cat(b, np.int64)], names=["u", "d", "v"])
 
-    new = met.repartition(n, "v").sortWithinPartitions("v", "u").mapInArrow(_grouped(joined, "v"), "u long, d float, v long")
+    new = met.repartition(n, "v").sortWithinPartitions("v", "u").mapInArrow(_grouped(joined, "v"), "u long, d double, v long")
     pair = F.struct(F.col("d"), F.col("v").alias("u")).alias("x")
     return merged(edges.select("u", pair).union(new.distinct().select("u", pair)), degree)
 
 
 def build(distinct: DataFrame, degree: int = DEGREE, trees: int = TREES, chunk: int = CHUNK, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Of nodes (node, x, ...): points (node, z), in half precision; and the graph (u, near), each node's nearest found, nearest first."""
-    largest = distinct.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
-
-    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                z = (x / largest).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in z], pa.binary())], names=["node", "z"])
-
-    points = written(distinct.select("node", "x").mapInArrow(halved, "node long, z binary"), "points")
+    """Of nodes (node, x, ...): points (node, z), z being x, as floats if that loses nothing; and the graph (u, near), each
+    node's nearest found, nearest first."""
+    wide = distinct.filter(F.exists("x", lambda c: c.cast("float").cast("double") != c)).limit(1).count()
+    points = written(distinct.select("node", F.col("x").cast("array<double>" if wide else "array<float>").alias("z")), "points")
     return points, _graph(points, degree, trees, chunk, rounds)
 
 
@@ -217,7 +210,7 @@ def _graph(points: DataFrame, degree: int, trees: int, chunk: int, rounds: int)
 
 
 def search(graph: DataFrame, points: DataFrame, entries: DataFrame, k: int, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
-    """(q, near): the nodes in the beam of each query at the end, as array<struct<d, u>>, distances in half precision.
+    """(q, near): the nodes in the beam of each query at the end, as array<struct<d, u>>.
     entries: (q, z, entry), entry being an array of nodes and z the query as points have it."""
     kind = "array<struct<d:double,u:long>>"
     vectors = points.select(F.col("node").alias("n"), F.col("z").alias("y"))
@@ -228,7 +221,7 @@ def search(graph: DataFrame, points: DataFrame, entries: DataFrame, k: int, beam
         for batch in batches:
             if batch.num_rows:
                 t = pa.Table.from_batches([batch])
-                d = np.sqrt(np.square(_halves(t, "z") - _halves(t, "y")).sum(axis=1).astype(np.float64))
+                d = np.sqrt(np.square(_vectors(t, "z") - _vectors(t, "y")).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d), batch.column(1)], names=["q", "d", "u"])
 
     def distance(pairs: DataFrame) -> DataFrame:
@@ -306,9 +299,9 @@ def neighbours(vectors: DataFrame, wanted: Column, vec_id: str = "vec_id", vecto
     """(query_id, rank, vec_id, score): the k nearest found of each row for which `wanted` holds, its own id left out.
     scan: answer by the scan alone (to measure recall)."""
     bounded_batches(vectors.sparkSession)
-    valid = valid_vectors(vectors, vec_id, vector)
+    valid = valid_vectors(vectors, wanted, vec_id, vector)
     distinct = written(nodes(valid, k), "nodes")
-    asked = valid_vectors(vectors.filter(wanted), vec_id, vector).select(F.col("id").alias("query_id"), "x").distinct()
+    asked = valid.filter("wanted").select(F.col("id").alias("query_id"), "x").distinct()
     asked = written(asked.join(distinct.select("node", "x"), "x").select("query_id", "node"), "asked")
     # equal vectors ask once
     queries = written(asked.select("node").distinct().join(distinct.select("node", "x"), "node").select(F.col("node").alias("q"), "x"), "queries")

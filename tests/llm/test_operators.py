@@ -245,6 +245,24 @@ def test_neighbours(spark):
     assert ann.neighbours(src.limit(0), wanted).count() == 0
 
 
+def test_neighbours_beside_an_outlier(spark):
+    x = (np.random.default_rng(6).standard_normal((600, 8)) * 0.125).astype(np.float32)
+    x[599] *= 1e8
+    src = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.neighbours(src, F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    y = x.astype(np.float64)
+    want = {q: {i for _, i in sorted((d, i) for i, d in enumerate(np.sqrt(np.square(y - y[q]).sum(axis=1))) if i != q)[:10]} for q in range(0, 600, 100)}
+    assert set(got) == set(want) and sum(len(got[q] & want[q]) for q in want) >= 54
+
+
+def test_neighbours_of_the_tables_length(spark):
+    rows = [(i, [1.0, float(i), 2.0]) for i in range(6)] + [(10, [1.0] * 4)]
+    src = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.query_id for r in ann.neighbours(src, F.col("vec_id") % 10 == 0, k=2).collect()} == {0}
+
+
 # 6
 
 def test_mixing(spark, docs):
