@@ -4,8 +4,9 @@ The DOMs of one host are merged by style: an element's place is the path of tags
 the tree keeps how many pages have it, how its children's tag sequences vary (presentation) and how its text varies
 (content).  Both variations are entropies in units of the logarithm of the number of pages: 0 if all pages agree, 1 if
 all differ.  A place's importance is the larger of the two; a page loses the branches whose places have low importance in
-at least `least_pages` pages.  Text blocks (paragraphs, headings, items, cells) and the article itself are never judged so,
-for an article that many pages copy is still an article.  Elements that say what they are (nav, footer, script, a class
+at least `least_pages` pages.  Pages of a host with the same main text count as one page, and text blocks (paragraphs,
+headings, items, cells) and all that is in the article or the main element are never judged so, for an article that many
+pages copy is still an article.  Elements that say what they are (nav, footer, script, a class
 such as `ad`) go whatever their entropy: a menu or advert that changes with each page looks important to the tree.
 
 Of what is left the articles' text is taken, else that of the main element, else all.  Character references are decoded,
@@ -178,7 +179,7 @@ def read(source: str, low: frozenset[int] = frozenset(), style: bool = False) ->
             skip = 0
         if main:
             level_at.append((len(stack), max(main, level_at[-1][1] if level_at else 0)))
-        if not skip and (noise or node.path in low and name not in TEXT_BLOCKS and name not in INLINE):
+        if not skip and (noise or node.path in low and not level_at and name not in TEXT_BLOCKS and name not in INLINE):
             skip, why = len(stack), noise or "style"
         if name not in INLINE and not skip:
             page.parts.append((level_at[-1][1] if level_at else 0, " "))
@@ -195,22 +196,32 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, pages, presentation, content): the merged tree of each host, one row a place."""
+def style_tree(pages: DataFrame, url: str = "url", html: str = "html", distinct: bool = False) -> DataFrame:
+    """(host, path, pages, presentation, content): the merged tree of each host, one row a place.
+    distinct: of a host's pages with the same main text, that whose html has the smallest hash stands for all."""
     node = T.StructType([T.StructField(n, T.LongType()) for n in ("path", "shape", "words")])
     src = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html"))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        counts, cols = [], ([], [], [])
+        counts, cols, main, order = [], ([], [], []), [], []
         for s in strings(batch, "html").to_pylist():
-            style = read(s, style=True).style
+            page = read(s, style=True)
+            style = page.style
+            if distinct:
+                main.append(xxhash.xxh128_digest(page.text()))
+                order.append(_h(s, 0))
             counts.append(len(style))
             for path, (shape, words) in style.items():
                 for c, v in zip(cols, (path, shape, words), strict=True):
                     c.append(v)
-        return [list_array(pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], ["path", "shape", "words"]), counts)]
-
-    nodes = with_columns(src, run, [T.StructField("nodes", T.ArrayType(node))]).select("host", F.explode("nodes").alias("x")).select("host", "x.*")
+        nodes = list_array(pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], ["path", "shape", "words"]), counts)
+        return [nodes, pa.array(main, pa.binary()), pa.array(order, pa.int64())] if distinct else [nodes]
+
+    fields = [T.StructField("nodes", T.ArrayType(node)), T.StructField("main", T.BinaryType()), T.StructField("order", T.LongType())]
+    read_ = with_columns(src, run, fields if distinct else fields[:1]).drop("html")
+    if distinct:
+        read_ = read_.groupBy("host", "main").agg(F.min_by("nodes", "order").alias("nodes"))
+    nodes = read_.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
     counted = written(nodes.groupBy("host", "path", "shape", "words").agg(F.count("*").alias("n")), "styles")
     bits = lambda n: F.sum(F.col(n) * F.log(n))
     by = {}
@@ -231,7 +242,7 @@ def unimportant(tree: DataFrame, threshold: float, least_pages: int) -> DataFram
 def extract(pages: DataFrame, url: str = "url", html: str = "html", threshold: float = 0.2, least_pages: int = 5) -> tuple[DataFrame, str]:
     """pages with their main text; and the column's name."""
     out, low, at = fresh(pages.columns, "main_text"), fresh(pages.columns, "low"), fresh(pages.columns, "page_host")
-    gone = written(unimportant(style_tree(pages, url, html), threshold, least_pages), "unimportant").select(F.col("host").alias("_h"), F.col("low").alias(low))
+    gone = written(unimportant(style_tree(pages, url, html, distinct=True), threshold, least_pages), "unimportant").select(F.col("host").alias("_h"), F.col("low").alias(low))
     marked = pages.withColumn(at, host(F.col(url)))
     joined = marked.join(gone, marked[at] == gone["_h"], "left").drop("_h", at)
 

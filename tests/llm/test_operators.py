@@ -465,6 +465,18 @@ def test_html(spark):
     assert html_main.extract(src.limit(0))[0].count() == 0
 
 
+def test_html_of_copied_articles(spark):
+    copy = "<nav>{0}</nav><div class='wrap'><article id='post-7'><h1>Head</h1><div class='entry'><p>Body</p><table><tr><td>cell</td></tr></table></div></article></div>"
+    rows = [(i, "http://c.example/", copy.format(i)) for i in range(6)]
+    rows += [(10 + i, "http://l.example/", f"<article><p>{'copied' if i < 40 else i}</p><ul><li>{'same' if i < 40 else i} item</li></ul></article>") for i in range(43)]
+    rows += [(100 + i, "http://n.example/", f"<main><p>near {i}</p><section>kept by all</section></main>") for i in range(8)]
+    out, name = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    by = {r.page_id: r[name] for r in out.collect()}
+    assert all(by[i] == "Head Body cell" for i in range(6))
+    assert by[10] == "copied same item" and by[52] == "42 42 item"
+    assert all(by[100 + i] == f"near {i} kept by all" for i in range(8))
+
+
 def test_style_tree_entropies(spark):
     rows = [(i, "http://h.example/", f"<body><div class=a>same</div><div class=b>{i % 2}</div></body>") for i in range(8)]
     tree = html_main.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
