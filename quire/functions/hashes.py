@@ -12,10 +12,8 @@ BASE64, PRIME64 = 14695981039346656037, 1099511628211
 
 def units(s: Column) -> Column:
     """The UTF-16 units of a text, as integers."""
-    h = F.hex(F.encode(s, "UTF-16BE"))
-    n = (F.length(h) / 4).cast("int")
-    all_units = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substr(h, i * 4 - 3, F.lit(4)), 16, 10).cast("int"))
-    return F.slice(all_units, 1, n)
+    four = F.regexp_extract_all(F.hex(F.encode(s, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    return F.transform(four, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def _number32(s: Column) -> Column:

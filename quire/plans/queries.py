@@ -145,10 +145,17 @@ def hashes_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", hashes.fnv32(F.substr("text", F.lit(1), F.lit(60))).alias("fnv32"))
 
 
+@query(None)
+def hashes_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hashes_of_texts keeps to the 60 characters that its SQL folds."""
+    text = F.col("text")
+    return _read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", hashes.fnv32(text).alias("fnv32"), hashes.fnv64(text).alias("fnv64"))
+
+
 @query(None)
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    return docs.select("doc_id", documents.cache_key(F.substr("text", F.lit(1), F.lit(200)), F.col("lang")).alias("key"), hashes.fnv32_base36(F.substr("text", F.lit(1), F.lit(200))).alias("short"))
+    return docs.select("doc_id", documents.cache_key(F.col("text"), F.col("lang")).alias("key"), hashes.fnv32_base36(F.col("text")).alias("short"))
 
 
 @query("""with c as (select text as s, min(conv_id) as conv_id from conversations group by text)

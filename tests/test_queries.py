@@ -43,6 +43,24 @@ def test_runs(spark, name):
     assert QUERIES[name][0](spark, SF).count() > 0
 
 
+def fnv(text, bits=32):
+    h, prime = ((2166136261, 16777619), (14695981039346656037, 1099511628211))[bits == 64]
+    data = text.encode("utf-16-be")
+    for i in range(0, len(data), 2):
+        h = (h ^ int.from_bytes(data[i : i + 2], "big")) * prime % (1 << bits)
+    return h
+
+
+def test_hashes_read_the_whole_text(spark, tmp_path):
+    texts = ["x" * 300 + end for end in ("", "a", "b", "é😀")] + ["", "短" * 5000]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.fnv32, r.fnv64) for r in QUERIES["hashes_of_whole_texts"][0](spark, str(tmp_path)).collect()}
+    assert got == {i: (f"{fnv(t):08x}", f"{fnv(t, 64):016x}") for i, t in enumerate(texts)}
+    keys = QUERIES["cache_keys"][0](spark, str(tmp_path)).collect()
+    assert {r.doc_id: int(r.short, 36) for r in keys} == {i: fnv(t) for i, t in enumerate(texts)}
+    assert len({r.key for r in keys}) == len(texts)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
