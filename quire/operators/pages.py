@@ -12,7 +12,7 @@ from quire.operators.layout import PAGE
 # How near items are of one line, how large a gap or a change of size parts paragraphs, when a text is residue.
 SAME_LINE, BREAK, FONT_STEP, ENDED = 0.6, 1.35, 1.5, 0.95
 FEW_CHARS, MANY_IMAGES = 50, 3
-ITEM = "array<struct<key:double,items:array<struct<x:double,idx:int,s:string,h:double>>>>"
+ITEM = "array<struct<key:double,items:array<struct<x:double,idx:long,s:string,h:double>>>>"
 
 
 def median(x: Column) -> Column:
@@ -24,7 +24,7 @@ def buckets(items: Column, tolerance: float) -> Column:
 
     def step(acc: Column, i: Column) -> Column:
         hit = F.get(F.filter(F.transform(acc, lambda b, k: F.when(F.abs(b["key"] - i["y"]) <= tolerance, k)), lambda k: k.isNotNull()), 0)
-        own = F.struct(i["x"].cast("double").alias("x"), i["idx"].cast("int").alias("idx"), i["s"].alias("s"), i["h"].cast("double").alias("h"))
+        own = F.struct(i["x"].cast("double").alias("x"), i["idx"].cast("long").alias("idx"), i["s"].alias("s"), i["h"].cast("double").alias("h"))
         grown = F.transform(acc, lambda b, k: F.when(k == hit, F.struct(b["key"].alias("key"), F.concat(b["items"], F.array(own)).alias("items"))).otherwise(b))
         return F.when(hit.isNotNull(), grown).otherwise(F.concat(acc, F.array(F.struct(i["y"].cast("double").alias("key"), F.array(own).alias("items")))))
 

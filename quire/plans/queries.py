@@ -299,8 +299,8 @@ def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = _read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    words = talk.select(F.lit(1).cast("long").alias("doc_id"), F.col("conv_id").alias("page"), "turn", F.posexplode(F.slice(F.split("text", " "), 1, 8)).alias("w", "s"))
-    return words.select("doc_id", "page", (F.col("turn") * 100 + F.col("w")).cast("int").alias("idx"), F.concat(F.col("s"), F.lit(" ")).alias("s"), (F.col("w") * 30.0).alias("x"), (800.0 - F.col("turn") * 14 + (F.col("w") % 3) * 0.2).alias("y"), (10.0 + F.col("page") % 2).alias("h"))
+    words = talk.select(F.lit(1).cast("long").alias("doc_id"), F.col("conv_id").alias("page"), "turn", F.posexplode(F.split("text", " ")).alias("w", "s"))
+    return words.select("doc_id", "page", (F.col("turn").cast("long") * (1 << 32) + F.col("w")).alias("idx"), F.concat(F.col("s"), F.lit(" ")).alias("s"), (F.col("w") * 30.0).alias("x"), (800.0 - F.col("turn") * 14 + (F.col("w") % 3) * 0.2).alias("y"), (10.0 + F.col("page") % 2).alias("h"))
 
 
 @query(None)

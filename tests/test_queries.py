@@ -61,6 +61,15 @@ def test_hashes_read_the_whole_text(spark, tmp_path):
     assert len({r.key for r in keys}) == len(texts)
 
 
+def test_page_items_are_all_words(spark, tmp_path):
+    turns = [(1, 0, " ".join(f"a{i}" for i in range(130))), (1, 1, "b0 b1"), (2, 0, "c")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("page_lines", "page_paragraphs"):
+        rows = QUERIES[name][0](spark, str(tmp_path)).collect()
+        got = sorted(w for r in rows for v in r.asDict().values() if isinstance(v, str) for w in v.split() if w[0] in "abc" and (len(w) == 1 or w[1:].isdigit()))
+        assert got == sorted(w for _, _, t in turns for w in t.split())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
