@@ -136,6 +136,19 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(None)
+def line_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalars of text_scalars of every line of every text, whole; text_scalars keeps to the first lines that its SQL can express."""
+    src = _read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    h = src.select("doc_id", F.concat("source", F.lit("-"), "lang", F.lit("_file.v1.TXT")).alias("name"), F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
+    line, name = F.col("line"), F.col("name")
+    return h.select(
+        "doc_id", "line_idx", t.extension(name).alias("ext"), t.title_from_file(name).alias("title"), t.count_chars(line).alias("chars"), t.looks_like_heading(line).alias("heading"),
+        t.cjk_count(line).alias("cjk"), t.notation_count(line).alias("notation"), t.alnum_sequence(line).alias("alnum"), t.punctuation_only(line).alias("punctuation"),
+        t.escape_xml(line).alias("xml"), t.table_cell(line).alias("cell"), t.normalize_anchor(line).alias("anchor"),
+    )
+
+
 MASK = "18446744073709551616"
 
 

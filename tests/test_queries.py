@@ -70,6 +70,16 @@ def test_page_items_are_all_words(spark, tmp_path):
         assert got == sorted(w for _, _, t in turns for w in t.split())
 
 
+def test_scalars_of_every_line(spark, tmp_path):
+    text = "# A heading\n50% of a + b\n" + "<" * 100 + "\nthe%20end"
+    spark.createDataFrame([(1, text, "web", "en")], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.line_idx: r for r in QUERIES["line_scalars"][0](spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    assert got[0].heading and not got[1].heading
+    assert got[1].xml == "50% of a + b" and got[2].xml == "&lt;" * 100
+    assert got[0].anchor == "aheading" and got[3].anchor == "theend"
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
