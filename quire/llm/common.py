@@ -62,16 +62,18 @@ def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-def with_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
-    """df with the columns that fn makes of each Arrow batch; every other column passes through untouched."""
+def with_columns(df: DataFrame, fn: Callable[..., list[pa.Array]], fields: list[T.StructField], state: Callable[[], object] | None = None) -> DataFrame:
+    """df with the columns that fn makes of each Arrow batch; every other column passes through untouched.
+    state: makes what fn is also given, once for each task, and which ends with the task."""
     bounded_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *fields])
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = () if state is None else (state(),)
         for batch in batches:
-            made = [a.cast(t) if a.type != t else a for a, t in zip(fn(batch), types, strict=True)]
+            made = [a.cast(t) if a.type != t else a for a, t in zip(fn(batch, *own), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
 
     return df.mapInArrow(run, schema)

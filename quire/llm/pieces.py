@@ -26,11 +26,31 @@ from quire.llm.common import fresh, list_array, with_columns
 MARK = "▁"
 #: Stands for a literal mark while encoding; texts hold it only if they hold lone surrogates, which UTF-8 excludes.
 LITERAL = "\ud800"
-CACHE = 1 << 19
+#: Bytes that a task's cache of stretches may take, and what a kept stretch takes beside its own letters and ids.
+CACHE_BYTES = 16 << 20
+ENTRY_BYTES = 200
 #: A byte costs more than any piece: below the worst piece by this much.
 BYTE_PENALTY = 10.0
 
 
+class Cache(dict):
+    """The ids of stretches seen by one task, of so many bytes at most; it starts anew when it is full."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, stretch: str, ids: bytes) -> None:
+        if len(stretch) > 64:
+            return
+        size = ENTRY_BYTES + 2 * len(stretch) + len(ids)
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self.held += size
+        self[stretch] = ids
+
+
 class PieceModel:
     """Pieces and scores; kinds as the model file numbers them (1 plain, 2 unknown, 3 control, 6 byte)."""
 
@@ -49,7 +69,6 @@ class PieceModel:
         self.automaton.make_automaton()
         self.some = bool(plain)
         self.cut = self._cuts([p for p, _, _ in plain])
-        self.cache: dict[str, bytes] = {}
 
     @staticmethod
     def _cuts(pieces: list[str]) -> re.Pattern | None:
@@ -111,19 +130,17 @@ class PieceModel:
         s = MARK + text.replace(MARK, LITERAL).replace(" ", MARK)
         return self.cut.findall(s) if self.cut else [s]
 
-    def encoded(self, text: str) -> bytes:
+    def encoded(self, text: str, cache: Cache | None = None) -> bytes:
         """The ids as 32-bit integers, one after another."""
         if not text:
             return b""
-        cache, out = self.cache, []
+        cache = Cache() if cache is None else cache
+        out = []
         for w in self.stretches(text):
             got = cache.get(w)
             if got is None:
                 got = np.array(self.viterbi(w), np.int32).tobytes()
-                if len(w) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = got
+                cache.keep(w, got)
             out.append(got)
         return b"".join(out)
 
@@ -166,16 +183,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     if fresh(docs.columns, out) != out:
         raise ValueError(f"docs has a column {out}")
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+    def run(batch: pa.RecordBatch, cache: Cache) -> list[pa.Array]:
         texts, m = batch.column(batch.schema.get_field_index(text)), model(path)
-        parts = [m.encoded(t) if t is not None else b"" for t in texts.to_pylist()]
+        parts = [m.encoded(t.as_py(), cache) if t.is_valid else b"" for t in texts]
         ids = np.frombuffer(b"".join(parts), np.int32)
         made = list_array(pa.array(ids), [len(p) // 4 for p in parts])
         if texts.null_count:
             made = pa.ListArray.from_arrays(made.offsets, made.values, mask=texts.is_null())
         return [made]
 
-    return with_columns(docs, run, [T.StructField(out, T.ArrayType(T.IntegerType(), False))])
+    return with_columns(docs, run, [T.StructField(out, T.ArrayType(T.IntegerType(), False))], Cache)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
