@@ -477,7 +477,71 @@ def test_html_of_copied_articles(spark):
     assert all(by[100 + i] == f"near {i} kept by all" for i in range(8))
 
 
-def test_style_tree_entropies(spark):
-    rows = [(i, "http://h.example/", f"<body><div class=a>same</div><div class=b>{i % 2}</div></body>") for i in range(8)]
-    tree = html_main.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {round(r.content, 6) for r in tree if r.pages == 8} == {0.0, round(html_main.entropy([4, 4]), 6)}
+UNNAMED = (
+    "<body><div class='x1'><ul><li><a href=1>{0} one</a></li><li><a href=2>{0} two</a></li><li><a href=3>{0} three</a></li></ul></div>"
+    "<div class='q'><p>We keep small files on your machine.</p></div><div class='sidebar-right'><h2><a href=4>{0} title</a></h2><p>{1}</p><p>Sign up for our letter today.</p><p>{2}</p></div>"
+    "<div class='sidebar'><p>{3}</p></div></body>"
+)
+
+
+def test_style_tree_finds_what_has_no_name(spark):
+    """A menu, a notice and a repeated line without noise names, and a layout name around the text: the tree changes every page."""
+    rows = [(i, "http://t.example/", UNNAMED.format(f"n{i}", prose(30), prose(20), prose(3))) for i in range(12)]
+    src = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out, name = html_main.extract(src)
+    got = {r.page_id: r[name] for r in out.collect()}
+    for i, _, page in rows:
+        one, two = re.findall(r"<p>(.*?)</p>", page)[1], re.findall(r"<p>(.*?)</p>", page)[3]
+        assert got[i] == f"n{i} title {one} {two}"
+    assert sum(got[i] != html_main.read(page).text() for i, _, page in rows) == 12
+
+
+def test_style_tree_against_brute_force(spark):
+    """Importance of every place, from entropies of a tree merged by hand."""
+
+    def made(i):  # (class, own text, children)
+        leaf = lambda c: (c, str(rng.choice(["same", "other", f"own {i}"])), [])
+        return ("top", "", [("a", "", [leaf("l"), leaf("m")][: 1 + i % 2]), ("b", f"text {i % 3}", [leaf("n")]), leaf("c")])
+
+    def html_of(x):
+        return f"<div class={x[0]}>{x[1]}{''.join(map(html_of, x[2]))}</div>"
+
+    trees = [made(i) for i in range(20)]
+    main = {}
+    rows = [(i, "http://b.example/", html_of(t)) for i, t in enumerate(trees)]
+    text = lambda x: " ".join(filter(None, [x[1], *map(text, x[2])]))
+    for i, t in enumerate(trees):  # one page stands for all with its main text
+        main.setdefault(text(t), []).append(i)
+    styles = html_main.read_styles(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    by_page = {r.main: min(x.page for x in styles.collect() if x.main == r.main) for r in styles.collect()}
+    chosen = {r.page for r in styles.collect() if by_page[r.main] == r.page}
+    hashes = {r.page_id: r.h for r in spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", F.xxhash64("html").alias("h")).collect()}
+    use = {hashes[i]: t for i, t in enumerate(trees) if hashes[i] in chosen}
+    assert len(use) == len(main)
+    shapes, own = defaultdict(list), defaultdict(list)
+
+    def walk(x, path):
+        at = (*path, x[0])
+        shapes[at].append(len(x[2]) > 0)  # all children are div: runs count once
+        own[at].append(x[1])
+        for y in x[2]:
+            walk(y, at)
+
+    for t in use.values():
+        walk(t, ())
+    content = {p: html_main.entropy(list(Counter(v).values())) for p, v in own.items()}
+    chars = {p: sum(map(len, v)) for p, v in own.items()}
+    want = []
+    for p, v in shapes.items():
+        under = [q for q in own if q[: len(p)] == p]
+        total = sum(chars[q] for q in under)
+        mean = sum(chars[q] * content[q] for q in under) / total if total else 1.0
+        g = 0.9 ** len(set(v))
+        want.append(((1 - g) * html_main.entropy(list(Counter(v).values())) + g * mean, len(v)))
+    tree = html_main.style_tree(styles).filter(f"path <> {html_main.ROOT}").collect()
+    assert np.allclose(sorted((r.importance, r.pages) for r in tree), sorted(want))
+
+
+def test_named_noise_and_headers():
+    assert html_main.read("<div class='siteHeader'>x</div><article><div class=entry-header><h1>T</h1></div><p>y <span class=ad>no</span>z</article>").text() == "T y z"
+    assert html_main.read("<div class=mainNav>menu</div><p>text").text() == "text"
