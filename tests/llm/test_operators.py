@@ -439,8 +439,55 @@ def test_pii(spark):
 
 
 def test_pii_model_learns_from_agreement():
-    m = pii.SpanModel({(3, (1, 1, 1, 0, 1), 2): 500, (3, (0, 1, 1, 1, 1), 2): 40, (3, (0, -1, -1, -1, -1), 2): 300, (3, (0, 1, -1, 0, -1), 2): 60})
+    f, g = (1, 2, 1, 0, 0, 5), (4, 0, 0, 3, 3, 7)
+    m = pii.SpanModel({(3, (1, 1, 1, 1, 0, 1), f): 500, (3, (0, 1, 1, 1, 1, 1), f): 40, (3, (0, -1, -1, -1, -1, -1), g): 300, (3, (0, 1, -1, -1, 0, -1), g): 60})
     assert m.reliability[3][1][True, 1] > m.reliability[3][1][False, 1]
+    score = lambda x: sum(m.weights[3].get(k, 0.0) for k in [(-1, 0), *enumerate(x)])
+    assert score(f) > 2 and score(g) < -2
+
+
+def test_pii_finds_more_than_its_base(spark):
+    """Planted wider spans among look-alikes: precision and recall of what the method adds."""
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    hexed = lambda n: rng.bytes(n // 2).hex()
+    fails = lambda d: not brute_spans(d)
+    rows, want = [], {}
+    for i in range(400):
+        kind = i % 10
+        card = next(d for d in iter(lambda: number(16), None) if fails(d))
+        planted, other = {
+            0: (f"{rng.choice(['joe', 'ann', 'kim'])}{number(2)} at {rng.choice(['mail', 'post'])} dot com", None),
+            1: (f"({rng.integers(2, 10)}{number(2)}) {rng.integers(2, 10)}{number(2)}-{number(4)}", None),
+            2: (":".join(["2001", "0db8", *[hexed(4) for _ in range(6)]]), None),
+            3: (f'"{hexed(40)}"', None),
+            4: (card, None),
+            5: (None, f"version {i % 7}.1.0.{i % 9} of"),
+            6: (None, f"ISBN 978{number(10)}"),
+            7: (None, f"commit {hexed(40)}"),
+            8: (None, "we looked at it dot and went on"),
+            9: (None, " ".join(number(1) for _ in range(16))),
+        }[kind]
+        lead = {0: "mail ", 1: "call ", 2: "from ", 3: "token = ", 4: "card "}.get(kind, "")
+        text = f"{prose(4)} {lead}{planted or other} {prose(4)}"
+        rows.append((i, text))
+        if planted:
+            a = text.index(planted)
+            want[i] = (a + 1, a + len(planted) - 1) if kind == 3 else (a, a + len(planted))
+    out, base, spans = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    right, wrong = 0, Counter()
+    for r in out.collect():
+        for x in set(r[spans]) - set(r[base]):
+            hit = want.get(r.doc_id) == (x.a, x.b)
+            right += hit
+            if not hit:
+                wrong[r.doc_id % 10, x.kind] += 1
+    assert right / len(want) >= 0.9 and right / (right + wrong.total()) >= 0.9, (right, wrong, len(want))
+
+
+def test_pii_of_many_matches(spark):
+    text = "1.2.3.4 a@b.co " * 3000
+    out, base, _ = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert [(pii.KINDS[x.kind], x.a, x.b) for x in out.first()[base]] == brute_spans(text)
 
 
 # 10
