@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,6 +63,15 @@ def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system: Python workers live on, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def with_columns(df: DataFrame, fn: Callable[..., list[pa.Array]], fields: list[T.StructField], state: Callable[[], object] | None = None) -> DataFrame:
     """df with the columns that fn makes of each Arrow batch; every other column passes through untouched.
     state: makes what fn is also given, once for each task, and which ends with the task."""
@@ -75,6 +85,9 @@ def with_columns(df: DataFrame, fn: Callable[..., list[pa.Array]], fields: list[
         for batch in batches:
             made = [a.cast(t) if a.type != t else a for a, t in zip(fn(batch, *own), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+            del batch, made
+        del own
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from quire.llm.words import ALNUM, expand, pieces, raw, run_lengths, words
 WINDOW = 13
 #: Bytes of benchmark text in one block, and of documents in one index.
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 RESULT = T.StructType(
     [

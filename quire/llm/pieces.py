@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 The automaton reads a stretch of text once.  At each position its output links give every piece that ends there; each
-relaxes the best score of the position.  A character that no piece covers costs its bytes' pieces.  Texts are whole: where
+relaxes the best score of the position.  A character that is no piece itself may be written by its bytes' pieces.  Texts are whole: where
 no piece can lie across a place (a word mark after another character, for a vocabulary whose pieces have marks only in
 front), the best path splits there, and so each distinct stretch is searched once for many texts.
 
@@ -27,28 +27,37 @@ MARK = "▁"
 #: Stands for a literal mark while encoding; texts hold it only if they hold lone surrogates, which UTF-8 excludes.
 LITERAL = "\ud800"
 #: Bytes that a task's cache of stretches may take, and what a kept stretch takes beside its own letters and ids.
-CACHE_BYTES = 16 << 20
-ENTRY_BYTES = 200
-#: A byte costs more than any piece: below the worst piece by this much.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 220
+#: A character without a piece of its own may be written by its bytes, which costs more than any piece by this much.
 BYTE_PENALTY = 10.0
 
 
-class Cache(dict):
-    """The ids of stretches seen by one task, of so many bytes at most; it starts anew when it is full."""
+class Cache:
+    """The ids of stretches seen by one task, of so many bytes at most, in two generations: the older goes when the younger
+    fills its half, and what is met again moves into the younger."""
 
     def __init__(self, most: int = CACHE_BYTES):
-        super().__init__()
-        self.most, self.held = most, 0
+        self.half, self.held = most // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, stretch: str) -> bytes | None:
+        got = self.young.get(stretch)
+        if got is None:
+            got = self.old.get(stretch)
+            if got is not None:
+                self.keep(stretch, got)
+        return got
 
     def keep(self, stretch: str, ids: bytes) -> None:
         if len(stretch) > 64:
             return
         size = ENTRY_BYTES + 2 * len(stretch) + len(ids)
-        if self.held + size > self.most:
-            self.clear()
-            self.held = 0
+        if self.held + size > self.half:
+            self.old, self.young, self.held = self.young, {}, 0
         self.held += size
-        self[stretch] = ids
+        self.young[stretch] = ids
 
 
 class PieceModel:
@@ -63,6 +72,7 @@ class PieceModel:
         if len(self.byte_id) != 256:
             raise ValueError("the model needs a piece for each byte")
         self.byte_score = min((s for _, s, _ in plain), default=0.0) - BYTE_PENALTY
+        self.single = {p for p, _, _ in plain if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for p, s, i in plain:
             self.automaton.add_word(p, (len(p), s, i))
@@ -122,8 +132,8 @@ class PieceModel:
         return (MARK if c == LITERAL else c).encode()
 
     def _by_bytes(self, s: str, j: int, best: list[float], size_of: list[int], id_of: list[int]) -> None:
-        score = best[j - 1] + self.byte_score * len(self._bytes(s[j - 1]))
-        if score > best[j]:
+        score = best[j - 1] + self.byte_score
+        if score > best[j] and s[j - 1] not in self.single:
             best[j], size_of[j] = score, 0
 
     def stretches(self, text: str) -> Iterable[str]:
@@ -135,12 +145,15 @@ class PieceModel:
         if not text:
             return b""
         cache = Cache() if cache is None else cache
-        out = []
+        out, young = [], cache.young
         for w in self.stretches(text):
-            got = cache.get(w)
+            got = young.get(w)
             if got is None:
-                got = np.array(self.viterbi(w), np.int32).tobytes()
-                cache.keep(w, got)
+                got = cache.get(w)
+                if got is None:
+                    got = np.array(self.viterbi(w), np.int32).tobytes()
+                    cache.keep(w, got)
+                young = cache.young
             out.append(got)
         return b"".join(out)
 
@@ -167,6 +180,11 @@ class PieceModel:
             self.table = [bytes([self.id_byte[i]]) if i in self.id_byte else b"" if i in self.skipped else self._plain(i) for i in range(len(self.texts))]
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
+    def decoded_all(self, lists: pa.ListArray) -> pa.Array:
+        flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        null = lists.is_null().to_pylist()
+        return pa.array([None if z else self.decoded(flat[a:b]) for a, b, z in zip(offsets[:-1], offsets[1:], null, strict=True)], pa.string())
+
 
 _models: dict[str, PieceModel] = {}
 
@@ -178,10 +196,12 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the ids of each text.  path: a model file that every executor has."""
-    if fresh(docs.columns, out) != out:
-        raise ValueError(f"docs has a column {out}")
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the ids of each text, and, if a name is given, the text that these ids decode to (in the same pass).
+    path: a model file that every executor has."""
+    for name in filter(None, (out, decoded)):
+        if fresh(docs.columns, name) != name:
+            raise ValueError(f"docs has a column {name}")
 
     def run(batch: pa.RecordBatch, cache: Cache) -> list[pa.Array]:
         texts, m = batch.column(batch.schema.get_field_index(text)), model(path)
@@ -190,9 +210,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
         made = list_array(pa.array(ids), [len(p) // 4 for p in parts])
         if texts.null_count:
             made = pa.ListArray.from_arrays(made.offsets, made.values, mask=texts.is_null())
-        return [made]
+        return [made, m.decoded_all(made)] if decoded else [made]
 
-    return with_columns(docs, run, [T.StructField(out, T.ArrayType(T.IntegerType(), False))], Cache)
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType(), False))]
+    return with_columns(docs, run, fields + ([T.StructField(decoded, T.StringType())] if decoded else []), Cache)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -201,9 +222,6 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         raise ValueError(f"rows has a column {out}")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        lists, m = batch.column(batch.schema.get_field_index(ids)), model(path)
-        flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        null = lists.is_null().to_pylist()
-        return [pa.array([None if z else m.decoded(flat[a:b]) for a, b, z in zip(offsets[:-1], offsets[1:], null, strict=True)], pa.string())]
+        return [model(path).decoded_all(batch.column(batch.schema.get_field_index(ids)))]
 
     return with_columns(rows, run, [T.StructField(out, T.StringType())])

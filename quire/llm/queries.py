@@ -84,17 +84,17 @@ def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.llm.pieces import decode, encode
+    from quire.llm.pieces import encode
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    both = decode(encode(docs, PIECES, out="ids"), PIECES, ids="ids", out="decoded")
+    both = encode(docs, PIECES, out="ids", decoded="decoded")
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.simhash import classes, hexed
 
-    out, fp, _, first = classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    out, fp, _, first = classes(table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", hexed(F.col(fp)).alias("fingerprint"), F.col(first).alias("component_id"))
 
 

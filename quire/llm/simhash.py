@@ -2,10 +2,11 @@
 
 The 64 bits are a ring of five segments.  If two fingerprints differ in at most 4 bits, then some segment starts a chain in
 which the first l segments differ in at most l * 4 / 5 bits, for every l up to 5: none in the first, at most one in the
-first two, and so on.  So a candidate shares the first segment whole and, since the second differs in one bit at most, one
-half of the second: these bits are the join key, ten keys a fingerprint.  Within a key the whole chain is tested, then the
-Hamming distance.  Equal fingerprints are one node.  Within a key only a spanning forest of the links is put out, enough
-for the classes; a key with more than `block` fingerprints is split into blocks, and each pair of blocks is a group.
+first two, two in the first three, three in the first four.  So a candidate shares the first segment whole and, of the next
+three segments cut into four pieces, one piece: these 22 or 23 bits are the join key, twenty keys a fingerprint.  Within a key
+the whole chain is tested, then the Hamming distance.  Equal fingerprints are one node, and texts are read once: what follows
+works on (id, fingerprint).  Within a key only a spanning forest of the links is put out, enough for the classes; a key with
+more than `block` fingerprints is split into blocks, and each pair of blocks is a group.
 
 Defined results: a null or blank text has the fingerprint zero, which links like any other.  Repeated rows share a class.
 A null doc_id never is a class id unless all of the class are null.  Empty tables give empty results.
@@ -60,16 +61,22 @@ def with_fingerprint(docs: DataFrame, text: str, out: str, k: int = 4) -> DataFr
     return with_columns(docs, run, [T.StructField(out, T.LongType())])
 
 
+PIECES = 4
+
+
 def _keys(fp: Column) -> Column:
-    """Ten keys: for each start, the whole segment and one half of the next."""
+    """Twenty keys: for each start, the whole segment and one piece of the next three."""
     keys = []
     for i in range(5):
         a, b = RING[i], RING[i + 1]
-        c, d = (RING[i + 1], RING[i + 2]) if i < 4 else (RING[0], RING[1])
         own = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-        for half, (lo, hi) in enumerate(((c, (c + d) // 2), ((c + d) // 2, d))):
-            part = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-            keys.append(F.lit((i * 2 + half) << 24) + F.shiftleft(own, 8) + part)
+        at = b % 64
+        turned = F.shiftrightunsigned(fp, at).bitwiseOR(F.shiftleft(fp, 64 - at)) if at else fp
+        width = sum(RING[(i + k) % 5 + 1] - RING[(i + k) % 5] for k in (1, 2, 3))
+        for piece in range(PIECES):
+            lo, hi = width * piece // PIECES, width * (piece + 1) // PIECES
+            part = F.shiftrightunsigned(turned, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+            keys.append(F.lit((i * PIECES + piece) << 24) + F.shiftleft(own, 10) + part)
     return F.array(*[k.cast("long") for k in keys])
 
 
@@ -137,10 +144,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         n = int(change[-1]) + 1  # the last group may go on in the next batch
         g = np.concatenate([[0], np.cumsum((key[1:n] != key[: n - 1]) | (p[1:n] != p[: n - 1]) | (q[1:n] != q[: n - 1]))])
-        yield of(g, key[:n] >> 25, t.column("fp").to_numpy()[:n].view(np.uint64))
+        yield of(g, key[:n] >> 26, t.column("fp").to_numpy()[:n].view(np.uint64))
         held = t.slice(n)
     if held is not None and held.num_rows:
-        yield of(np.zeros(held.num_rows, np.int64), held.column("key").to_numpy() >> 25, held.column("fp").to_numpy().view(np.uint64))
+        yield of(np.zeros(held.num_rows, np.int64), held.column("key").to_numpy() >> 26, held.column("fp").to_numpy().view(np.uint64))
 
 
 def links(fps: DataFrame, fp: str, block: int = BLOCK) -> DataFrame:
@@ -156,27 +163,37 @@ def links(fps: DataFrame, fp: str, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, block: int = BLOCK) -> tuple[DataFrame, str, str, str]:
-    """docs with the fingerprint (signed long), the class (one of its fingerprints) and the smallest doc_id of the class;
-    and the three columns' names."""
-    fp = fresh(docs.columns, "simhash")
-    root = fresh([*docs.columns, fp], "simhash_class")
-    first = fresh([*docs.columns, fp, root], "simhash_first")
-    marked = with_fingerprint(docs, text, fp, k)
-    small = written(marked.select(F.col(doc_id).alias("id"), F.col(fp).alias("fp")).groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
-    comp = components(links(small, "fp", block))
-    rooted = small.join(comp, small.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias(first))
-    of = rooted.select(F.col("fp").alias("_fp"), "root").join(least, "root").select("_fp", F.col("root").alias(root), first)
-    return marked.join(of, marked[fp] == of["_fp"], "left").drop("_fp"), fp, root, first
-
-
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4) -> DataFrame:
-    """One row of each class, with the columns of docs: of its smallest doc_id, and of rows that share it, of the text that sorts first."""
-    out, _, root, first = classes(docs, doc_id, text, k)
-    own = out.filter(F.col(doc_id).eqNullSafe(F.col(first)))
-    one = own.groupBy(root).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias("row"))
-    return one.select("row.*")
+def _rooted(marked: DataFrame, fp: str, least: Column, block: int) -> DataFrame:
+    """(fp, root, least): of each distinct fingerprint, its class and the class's least value of `least`."""
+    small = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(least).alias("own")), "fingerprints")
+    comp = components(links(small.select("fp"), "fp", block))
+    rooted = small.join(comp, small.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "own")
+    return rooted.join(rooted.groupBy("root").agg(F.min("own").alias("least")), "root").select("fp", "root", "least")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, block: int = BLOCK, keep: list[str] | None = None) -> tuple[DataFrame, str, str, str]:
+    """The columns `keep` of docs (all, if not given; with the doc_id) with the fingerprint (signed long), the class (one of
+    its fingerprints) and the smallest doc_id of the class; and the three columns' names."""
+    keep = docs.columns if keep is None else keep
+    names: list[str] = []
+    for n in ("simhash", "simhash_class", "simhash_first", "simhash_of"):
+        names.append(fresh([*docs.columns, *names], n))
+    fp, root, first, of = names
+    marked = written(with_fingerprint(docs.select(*dict.fromkeys([*keep, doc_id, text])), text, fp, k).select(*keep, fp), "marked")
+    rooted = _rooted(marked, fp, F.col(doc_id), block).select(F.col("fp").alias(of), F.col("root").alias(root), F.col("least").alias(first))
+    return marked.join(rooted, F.col(fp) == F.col(of), "left").drop(of), fp, root, first
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, block: int = BLOCK) -> DataFrame:
+    """One row of each class, with the columns of docs: of its smallest doc_id (null after all others), and of rows that share
+    it, of the text with the smallest hash.  Rows that share both are one."""
+    key = fresh(docs.columns, "simhash_key")
+    own = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.xxhash64(text).cast("string")))
+    fp = fresh(own.columns, "simhash")
+    order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.col(key).alias("key"))
+    marked = written(with_fingerprint(own.select(*dict.fromkeys([doc_id, text, key])), text, fp, k).select(doc_id, key, fp), "marked")
+    chosen = _rooted(marked, fp, order, block).select(F.col("least.key").alias(key)).distinct()
+    return own.join(chosen, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def hexed(fp: Column) -> Column:

@@ -314,6 +314,54 @@ def test_pieces(spark, docs):
     assert pieces.encode(src.limit(0), PIECES).count() == 0
 
 
+def proto(fields):
+    """Of a protocol buffer's bytes, or back from (number, kind, value) triples."""
+    out = bytearray()
+
+    def varint(n):
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        out.append(n)
+
+    for number, kind, value in fields:
+        varint(number << 3 | kind)
+        if kind == 0:
+            varint(value)
+        elif kind == 2:
+            varint(len(value))
+            out += value
+        else:
+            out += value
+    return bytes(out)
+
+
+def test_pieces_agree_with_the_public_library():
+    """A unigram model of some pieces, written as the library's own file: the same ids."""
+    import struct
+
+    import sentencepiece
+
+    some = ["▁", *"abcdeé", "▁a", "ab", "bc", "abc", "▁ab", "cd", "de", "cde", "▁de", "ea", "aa", "▁aab"]
+    score = {p: -float(rng.integers(1, 40)) / (1 if len(p) > 1 else 0.5) for p in some}
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)], *[(p, score[p], 1) for p in some]]
+    rows = [(1, 2, proto([(1, 2, p.encode()), (2, 5, struct.pack("<f", s)), (3, 0, k)])) for p, s, k in pieces_]
+    model = proto([*rows, (2, 2, proto([(3, 0, 1), (35, 0, 1)])), (3, 2, proto([(1, 2, b"identity"), (3, 0, 1), (4, 0, 0), (5, 0, 1)]))])
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    own = pieces.PieceModel(pieces_)
+    for _ in range(400):
+        text = "".join(rng.choice(list("aabbccddee éxß日 "), int(rng.integers(1, 25))))
+        assert own.encode(text) == library.encode(text), text
+
+
+def test_pieces_cache_is_bounded():
+    cache = pieces.Cache(20_000)
+    for i in range(5000):
+        cache.keep(f"w{i}", b"1234")
+        assert cache.held <= 10_000 and len(cache.young) + len(cache.old) < 100
+    assert cache.get("w4999") == b"1234" and cache.get("w0") is None
+
+
 def test_pieces_find_the_best_path():
     bytes_ = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
     vocab = ["a", "b", "ab", "ba", "aba", "▁", "▁a", "▁ab", "bb", ".", "c.", "▁▁"]
