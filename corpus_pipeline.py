@@ -39,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids, and whether decoding gives back the text."""
     ids, back = fresh(docs.columns, "ids"), fresh(docs.columns, "decoded")
-    both = pieces.decode(pieces.encode(docs, PIECES, out=ids), PIECES, ids=ids, out=back)
+    both = pieces.encode(docs, PIECES, out=ids, decoded=back)
     return both.select(*docs.columns, ids, F.col(back).eqNullSafe(F.col("text")).alias(fresh(docs.columns, "round_trip")))
 
 
