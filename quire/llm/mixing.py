@@ -1,51 +1,60 @@
 """LM scoring by online logistic mixing of hashed-context bit predictors.
 
-The model predicts a text's bytes (A-Z as a-z, then an end byte that UTF-8 never has) bit by bit.  Predictor k knows the
-last k bytes and the bits so far of this byte, hashed to a slot with the counts of zeros and ones that all training texts
-have there.  The predictors' logits are mixed by weights from a set that a gate picks: how many predictors have seen the
-context, and which bit it is.  The weights are learned online, by logistic gradient steps in small batches over everything
-counted, each event's own occurrence taken out of the counts first; workers' weights are averaged.  An adaptive
-probability map then refines the mixed logit given the bits so far.  Last, each text adapts: sharper, plain and
-flatter forms of the prediction compete as a Bayesian mixture, whose weights follow how well each has done so far in the
-text; in sum that is the mixture of the three totals.
-
-What is counted grows with the corpus: counts of (five bytes, next byte) and of tokens, kept as tables in the shared
-folder.  The model is of fixed size (`BITS`), and so is the table of frequent tokens that goes to every task; all other
-tokens meet their counts in a join.  Equal contexts in a batch are predicted once.
+The model predicts a text's bytes (A-Z as a-z, then an end byte that UTF-8 never has), each as the bits of its Huffman code, so
+a byte takes four or five predictions.  Predictor k knows the last k bytes and the bits so far of this byte: a context is
+hashed to a line of 256 slots, its nodes of the code to slots of the line, and a slot has the counts of zeros and ones that
+all training texts have there.  The tables are as large as the contexts found ask for (`slots` a gram, up to 2**MOST_BITS slots:
+what is sent to every task is bounded, and only beyond some ten million contexts an order begins to mix contexts).
+
+The predictors' logits are mixed by weights from a set that a gate picks: how many predictors have seen the context, and how
+far into the byte it is.  These weights are learned online, by logistic gradient steps in small batches over every counted
+gram, by its count, its own occurrence taken out of the slots first; tasks' weights are averaged.  An adaptive probability
+map then refines the mixed logit given the node.  While a text is scored the mixture goes on learning: every text has its own
+correction of the weights, which starts at zero and takes a gradient step after each `BLOCK` bits of it.  A text's score
+depends on the model and the text alone, not on what else is in the batch.
+
+What is counted grows with the corpus: counts of (five bytes, next byte) and of tokens, kept as tables in the shared folder.
+The table of frequent tokens that goes to every task is bounded; all other tokens meet their counts in a join.
 
 Defined results: a null text counts as empty; an empty text has one token, the end.  Repeated rows each get a row.  With
-nothing to learn from, counts are zero and every bit has probability one half.  Empty tables give empty results.
+nothing to learn from, counts are zero and every bit has probability one half.  Words are told apart by 64-bit hashes.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import bounded_batches, fresh, held_out, list_array, strings, with_columns, written
-from quire.llm.words import LOWER, NOT_SPACE, U, mix, pieces, raw, words
+from quire.llm.common import bounded_batches, fresh, give_back, held_out, list_array, strings, with_columns, written
+from quire.llm.words import LOWER, NOT_SPACE, U, expand, mix, pieces, raw, words
 
 END = 0xFF
-#: Bits of the slots of the predictors of order 0 to 5 (order 0 and 1 have a slot for each context).
-BITS = (8, 16, 18, 20, 20, 20)
-BASE = np.cumsum([0, *[1 << b for b in BITS]])
-CHUNK = 1 << 13
-GATES = (len(BITS) + 1) * 8
-FORMS = (0.8, 1.0, 1.25)
+ORDERS = 6
+#: Bits of a table of slots, at least and at most; slots for each distinct (context, byte).
+LEAST_BITS, MOST_BITS = 16, 24
+SLOTS_PER_GRAM = 2.5
+DEPTHS = 8
+GATES = (ORDERS + 1) * DEPTHS
 FREQUENT = 1 << 18
 BATCH_BYTES = 1 << 20
 #: Scored at once: the more, the more contexts are equal.
 SCORE_BYTES = 2 << 20
 END_TOKEN = -0x61C8864680B583EB
 BUCKETS = 33
+#: A text's own weights: bits between two steps, and the size of a step for each bit.
+BLOCK = 256
+RATE = 0.003
+#: Logits are held as whole numbers of this part.
+PART = 12.0
 
 
 def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,108 +66,205 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         flat[np.arange(offsets[-1] - offsets[0]) + np.repeat(np.arange(n), np.diff(offsets))] = LOWER[data[offsets[0] : offsets[-1]]]
     since = np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
     key = flat.astype(U)
-    for back in range(1, 6):
+    for back in range(1, ORDERS):
         old = np.full(len(flat), END, U)
         old[back:] = flat[:-back] if len(flat) > back else old[back:]
         key |= np.where(since >= back, old, U(END)) << U(8 * back)
     return key, at
 
 
-def slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """key: n numbers.  (n, 8, orders) slots of the predictors, and the (n, 8) bits."""
-    byte = (key & U(255)).astype(np.int64)
-    node = np.empty((len(key), 8), np.int64)
-    bit = np.empty((len(key), 8), np.int8)
-    for b in range(8):
-        node[:, b] = (1 << b) | (byte >> (8 - b))
-        bit[:, b] = (byte >> (7 - b)) & 1
-    out = np.empty((len(key), 8, len(BITS)), np.int32)
-    out[:, :, 0] = node
-    for k in range(1, len(BITS)):
-        ctx = (key >> U(8)) & U((1 << (8 * k)) - 1)
-        if k == 1:
-            out[:, :, k] = (ctx.astype(np.int64) << 8)[:, None] | node
-        else:
-            h = mix(ctx + U(k << 48))[:, None] + node.astype(U) * U(0x9E3779B97F4A7C15)
-            out[:, :, k] = (((h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)) >> U(64 - BITS[k])).astype(np.int64)
-    return out + BASE[:-1].astype(np.int32), bit
+class Code:
+    """A Huffman code of the 256 bytes: size[b] bits each; its nodes and bits stand at start[b] of `node` and `bit`."""
+
+    def __init__(self, counts: np.ndarray):
+        """A byte that never occurs counts as one in 2**14, which bounds the depth."""
+        heap = [(float(c) + counts.sum() / 2**14 + 1, b, b) for b, c in enumerate(counts)]
+        heapq.heapify(heap)
+        up: dict[int, tuple[int, int]] = {}  # node or byte -> its parent and side; inner nodes from 256 on
+        for inner in range(256, 511):
+            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+            up[x], up[y] = (inner, 0), (inner, 1)
+            heapq.heappush(heap, (a + b, inner, inner))
+        paths = []
+        for b in range(256):
+            path, at = [], b
+            while at in up:
+                at, side = up[at]
+                path.append((510 - at, side))  # the root is node 0
+            paths.append(path[::-1])
+        self.size = np.array([len(p) for p in paths], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.node = np.array([n for p in paths for n, _ in p], np.uint8)
+        self.bit = np.array([s for p in paths for _, s in p], np.int8)
+        self.depth = np.array([min(d, DEPTHS - 1) for p in paths for d in range(len(p))], np.int8)
+
+    def spelt(self, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `node` and `bit` of all bits of the bytes, and which byte each belongs to."""
+        return expand(self.start[byte], self.size[byte])
+
+
+def lines(key: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """Where the contexts of an order begin in a table of 2**bits slots; a node's slot is this with its number exclusive-ored."""
+    ctx = (key >> U(8)) & U((1 << (8 * order)) - 1)
+    if order <= 1:
+        return ctx.astype(np.int64) << 8
+    return (mix(ctx + U(order << 48)) >> U(64 - bits)).astype(np.int64)
+
+
+#: A slot's state: its counts, exactly up to 64 and in steps of an eighth of an octave beyond.
+STEPS = np.unique(np.concatenate([np.arange(65), np.rint(64 * 2 ** (np.arange(1, 191) / 8))])).astype(np.float64)
+
+
+def state(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Zeros and ones, a byte each; counts beyond the steps keep their ratio."""
+    over = np.maximum(1.0, seen / (STEPS[-1] / 2))
+    ones, seen = ones / over, seen / over
+    near = lambda n: np.maximum(np.searchsorted(STEPS, n * (1 + 1e-9), "right") - 1, 0).astype(np.uint16)
+    return near(seen - ones) << np.uint16(8) | near(ones)
+
+
+def logit(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    seen = zeros + ones
+    return np.clip(np.log((ones + 0.1) / (zeros + 0.1)) * (seen / (seen + 0.5)), -10, 10)
+
+
+def _logits(less: int | None = None) -> np.ndarray:
+    """Of each state, in PARTs; less: a zero (0) or a one (1) is taken out first.  Unseen: -128."""
+    z, o = STEPS[:, None], STEPS[None, :]
+    if less is not None:
+        z, o = (np.maximum(z - 1, 0), o) if less == 0 else (z, np.maximum(o - 1, 0))
+    made = np.where(z + o > 0, np.rint(logit(z, o) * PART), -128).astype(np.int8)
+    out = np.full((256, 256), -128, np.int8)
+    out[: len(STEPS), : len(STEPS)] = made
+    return out.ravel()
+
+
+PLAIN, WITHOUT = _logits(), np.stack([_logits(0), _logits(1)])
+
+
+def soft(v: np.ndarray) -> np.ndarray:
+    return np.maximum(v, 0) + np.log1p(np.exp(-np.abs(v)))
 
 
 @dataclass
 class Mixer:
-    """ones, seen: counts by slot.  weights: (gates, orders).  refined: (256, buckets) logits."""
+    """tables: states by order, or their logits in PARTs.  weights: (gates, orders).  refined: (256 nodes, buckets) logits."""
 
-    ones: np.ndarray
-    seen: np.ndarray
+    code: Code
+    bits: tuple[int, ...]
+    tables: list[np.ndarray]
     weights: np.ndarray
     refined: np.ndarray | None = None
-    logits: np.ndarray | None = None  # of each slot, and whether it has been seen, once nothing is learned any more
-    known: np.ndarray | None = None
 
     @classmethod
-    def fresh(cls, ones: np.ndarray, seen: np.ndarray) -> Mixer:
-        return cls(ones, seen, np.full((GATES, len(BITS)), 0.3, np.float64))
-
-    def inputs(self, slot: np.ndarray, bit: np.ndarray, own: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the predictors, and the gates.  own: occurrences of this very event to take out of the counts."""
-        if self.logits is not None:
-            return self.logits[slot], self.known[slot].sum(axis=2, dtype=np.int64) * 8 + np.arange(8)
-        seen = self.seen[slot] - np.float32(own)
-        ones = self.ones[slot] - np.float32(own) * bit[:, :, None]
-        gate = (seen > 0.5).sum(axis=2) * 8 + np.arange(8)
-        return self.logit(ones, seen), gate
-
-    @staticmethod
-    def logit(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        out = np.log((ones + np.float32(0.1)) / (seen - ones + np.float32(0.1)))
-        return out * (seen / (seen + np.float32(0.5)))
+    def empty(cls) -> Mixer:
+        bits = (8, 16, *[LEAST_BITS] * (ORDERS - 2))
+        return cls(Code(np.zeros(256)), bits, [np.zeros(1 << b, np.uint16) for b in bits], np.full((GATES, ORDERS), 0.3, np.float32))
 
     def frozen(self) -> Mixer:
-        """For scoring: the same predictions from one table."""
-        none = np.zeros(0, np.float32)
-        return Mixer(none, none, self.weights, self.refined, self.logit(self.ones, self.seen), self.seen > 0.5)
-
-    def mixed(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ijk,ijk->ij", logit, self.weights.astype(np.float32)[gate]), -16, 16)
+        """For scoring: the same predictors, half as large."""
+        return Mixer(self.code, self.bits, [PLAIN[t] for t in self.tables], self.weights, self.refined)
+
+    def inputs(self, key: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each bit of the keys: logits of the predictors in PARTs, (n, 8) with two empty columns; the gate; the place in
+        the code; and which key it is of.  own: this very event is taken out of the counts."""
+        at, of = self.code.spelt((key & U(255)).astype(np.int64))
+        node, gate = self.code.node[at].astype(np.int64), self.code.depth[at].astype(np.int64)
+        out = np.zeros((len(at), 8), np.int8)
+        for k in range(ORDERS):
+            found = self.tables[k][lines(key, k, self.bits[k])[of] ^ node]
+            if own:
+                found = np.where(self.code.bit[at] == 1, WITHOUT[1][found], WITHOUT[0][found])
+            q = found if found.dtype == np.int8 else PLAIN[found]
+            known = q != -128
+            gate += known * DEPTHS
+            out[:, k] = np.where(known, q, 0)
+        return out, gate, at, of
+
+    def mixed(self, q: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        x = np.zeros(len(q), np.float32)
+        for k in range(ORDERS):
+            x += (self.weights[:, k] / np.float32(PART)).astype(np.float32)[gate] * q[:, k]
+        return np.clip(x, -16, 16)
 
     def refine(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
         if self.refined is None:
             return x
         return (x + self.refined[node, np.rint(x + 16).astype(np.int64)]) / 2
 
-    def learn(self, slot: np.ndarray, bit: np.ndarray, count: np.ndarray, rate: float) -> None:
+    def learn(self, key: np.ndarray, count: np.ndarray, rate: float) -> None:
         """One online step of a small batch."""
-        logit, gate = self.inputs(slot, bit, 1.0)
-        p = 1 / (1 + np.exp(-self.mixed(logit, gate)))
-        w = np.log2(1 + count.astype(np.float64))[:, None]
-        error = (bit - p) * w
-        mass = np.bincount(gate.ravel(), np.broadcast_to(w, gate.shape).ravel(), GATES) + 1.0
-        for k in range(len(BITS)):
-            self.weights[:, k] += rate * np.bincount(gate.ravel(), (error * logit[:, :, k]).ravel(), GATES) / mass
-
-    def costs(self, key: np.ndarray) -> np.ndarray:
-        """(forms, n) bits that each byte costs."""
-        slot, bit = slots(key)
-        x = self.refine(self.mixed(*self.inputs(slot, bit)), slot[:, :, 0])
-        wrong = np.where(bit == 1, -x, x).astype(np.float32)
-        soft = lambda v: np.maximum(v, 0) + np.log1p(np.exp(-np.abs(v)))
-        return np.stack([soft(np.float32(a) * wrong).sum(axis=1, dtype=np.float64) for a in FORMS]) / math.log(2)
-
-
-def predicted_once(model: Mixer, key: np.ndarray) -> np.ndarray:
-    """costs(key), equal keys computed once: each key looks at the last position that its hash has."""
-    at = (mix(key) >> U(42)).astype(np.int64)
-    place = np.zeros(1 << 22, np.int32)
-    place[at] = np.arange(len(key), dtype=np.int32)
+        q, gate, at, of = self.inputs(key, own=True)
+        w = count.astype(np.float64)[of]
+        error = (self.code.bit[at] - 1 / (1 + np.exp(-self.mixed(q, gate).astype(np.float64)))) * w
+        mass = np.bincount(gate, w, GATES) + 1.0
+        for k in range(ORDERS):
+            self.weights[:, k] += rate * np.bincount(gate, error * q[:, k] / PART, GATES) / mass
+
+    def prepared(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct keys: where the bits of each begin; of each bit the refined logit against it, and the packed inputs
+        against it (logits of a zero, if the bit is one)."""
+        parts = []
+        for i in range(0, len(key), 1 << 15):
+            q, gate, at, _ = self.inputs(key[i : i + (1 << 15)])
+            side = (1 - 2 * self.code.bit[at]).astype(np.int8)
+            x = self.refine(self.mixed(q, gate), self.code.node[at]).astype(np.float32) * side
+            q *= side[:, None]
+            parts.append((x, q.view(U).ravel()))
+        size = self.code.size[(key & U(255)).astype(np.int64)]
+        x, q = (np.concatenate(p) for p in zip(*parts, strict=True))
+        return np.cumsum(size) - size, x, q
+
+    def bits_of(self, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Bits that each row of the sequences costs; at: the rows' offsets (every row has its end at least).  The first blocks
+        of all rows are predicted at once, then the second ones, ..."""
+        rows = len(at) - 1
+        total = np.zeros(rows)
+        if not len(key):
+            return total
+        own, which = distinct(key)
+        start, x, q = self.prepared(own)
+        x, q = np.append(x, np.float32(-60)), np.append(q, U(0))  # a bit that costs nothing
+        size = self.code.size[(own & U(255)).astype(np.int64)][which]
+        end = np.cumsum(size)
+        spelt = np.empty(end[-1] + 1, np.int32)
+        spelt[:-1] = np.repeat((start[which] - end + size).astype(np.int32), size)
+        spelt[:-1] += np.arange(end[-1], dtype=np.int32)
+        spelt[-1] = len(x) - 1
+        ends = end[at[1:] - 1]
+        del end, size, which, own
+        begins = np.concatenate([[0], ends[:-1]])
+        longest = np.argsort(begins - ends, kind="stable")
+        left = (ends - begins)[longest]
+        delta = np.zeros((rows, 8), np.float32)
+        for lo in range(0, int(left[0]), BLOCK):
+            who = longest[: np.searchsorted(-left, -lo, "left")]
+            place = (begins[who] + lo)[:, None] + np.arange(BLOCK)
+            over = place >= ends[who][:, None]
+            if over.any():
+                place[over] = len(spelt) - 1
+            bit = spelt[place].astype(np.intp)
+            seen = q[bit].view(np.int8).reshape(len(who), BLOCK, 8).astype(np.float32)
+            y = x[bit] + np.matmul(seen, delta[who][:, :, None])[:, :, 0]
+            e = np.exp(-np.abs(y))
+            total[who] += (np.maximum(y, 0) + np.log1p(e)).sum(axis=1, dtype=np.float64)
+            wrong = np.where(y > 0, np.float32(1), e) / (1 + e)
+            delta[who] -= np.float32(RATE / PART**2) * np.matmul(wrong[:, None, :], seen)[:, 0, :]
+        return total / math.log(2)
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (a few may come twice), and which each key is: a key looks at the last position that its hash has."""
+    at = (mix(key) >> U(43)).astype(np.int64)
+    place = np.zeros(1 << 21, np.int32)
+    here = np.arange(len(key), dtype=np.int32)
+    place[at] = here
     rep = place[at]
-    rep = np.where(key[rep] == key, rep, np.arange(len(key), dtype=np.int32))
-    own = np.flatnonzero(rep == np.arange(len(key), dtype=np.int32))
+    rep = np.where(key[rep] == key, rep, here)
+    own = np.flatnonzero(rep == here)
     place = np.zeros(len(key), np.int32)
     place[own] = np.arange(len(own), dtype=np.int32)
-    out = np.zeros((len(FORMS), len(own)), np.float32)
-    for i in range(0, len(own), 1 << 14):
-        out[:, i : i + (1 << 14)] = model.costs(key[own[i : i + (1 << 14)]])
-    return out[:, place[rep]]
+    return key[own], place[rep]
 
 
 def _counted(text: str):
@@ -192,6 +298,7 @@ def _counted(text: str):
                             yield from flush(kind)
         for kind in (0, 1):
             yield from flush(kind)
+        give_back()
 
     return run
 
@@ -207,36 +314,61 @@ class Language:
     v: int
 
 
-def _table(grams: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by slot, added up in chunks of slots."""
+def _counts_of(code: Code, key: np.ndarray, n: np.ndarray, line: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ones and all, by slot."""
+    ones, seen = np.zeros(size), np.zeros(size)
+    for i in range(0, len(key), 1 << 16):
+        at, of = code.spelt((key[i : i + (1 << 16)] & U(255)).astype(np.int64))
+        slot, w = line[i : i + (1 << 16)][of] ^ code.node[at].astype(np.int64), n[i : i + (1 << 16)][of]
+        seen += np.bincount(slot, w, size)
+        ones += np.bincount(slot, w * code.bit[at], size)
+    return ones, seen
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, seen = np.zeros(BASE[-1]), np.zeros(BASE[-1])
+def _regions(bits: int) -> int:
+    """Parts of a table that one task each makes: of 2**18 slots, if there are so many."""
+    return max(1, 1 << (bits - 18))
+
+
+def _tables(by: dict[int, DataFrame], code: Code, bits: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """States of the slots, by order.  A region of a table is made in one task: it holds whole lines, and a table's contexts
+    are dealt over its regions by their hash."""
+    schema = "order int, region int, key long, n long"
+
+    def dealt(order: int):
+        size = (1 << bits[order]) // _regions(bits[order])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                line = lines(batch.column(0).to_numpy().view(U), order, bits[order])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(line), order, np.int32)), pa.array((line // size).astype(np.int32)), batch.column(0), batch.column(1)], names=["order", "region", "key", "n"])
+
+        return run
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            key, n = batch.column(0).to_numpy().view(U), batch.column(1).to_numpy().astype(np.float64)
-            for i in range(0, len(key), 1 << 14):
-                slot, bit = slots(key[i : i + (1 << 14)])
-                w = np.broadcast_to(n[i : i + (1 << 14), None], bit.shape)
-                for k in range(len(BITS)):
-                    a, size = slot[:, :, k].ravel() - BASE[k], 1 << BITS[k]
-                    seen[BASE[k] : BASE[k + 1]] += np.bincount(a, w.ravel(), size)
-                    ones[BASE[k] : BASE[k + 1]] += np.bincount(a, (w * bit).ravel(), size)
-        cut = [(i, min(i + CHUNK, int(BASE[-1]))) for i in range(0, int(BASE[-1]), CHUNK)]
-        cut = [(a, b) for a, b in cut if seen[a:b].any()]
-        for i in range(0, len(cut), 32):
-            some = cut[i : i + 32]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in some], pa.int32()), pa.array([ones[a:b].astype(np.float32).tobytes() for a, b in some]), pa.array([seen[a:b].astype(np.float32).tobytes() for a, b in some])], names=["at", "ones", "seen"])
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = lambda c: np.sum([np.frombuffer(x, np.float32) for x in part[c]], axis=0, dtype=np.float64).astype(np.float32).tobytes()
-        return pd.DataFrame({"at": part["at"].iloc[:1], "ones": [total("ones")], "seen": [total("seen")]})
-
-    chunks = grams.select("key", "n").coalesce(tasks).mapInArrow(run, "at int, ones binary, seen binary").groupBy("at").applyInPandas(add, "at int, ones binary, seen binary")
-    ones, seen = np.zeros(BASE[-1], np.float32), np.zeros(BASE[-1], np.float32)
-    for r in chunks.toLocalIterator():
-        ones[r["at"] : r["at"] + CHUNK][: len(r["ones"]) // 4] = np.frombuffer(r["ones"], np.float32)
-        seen[r["at"] : r["at"] + CHUNK][: len(r["seen"]) // 4] = np.frombuffer(r["seen"], np.float32)
-    return ones, seen
+            order, region, key, n = (batch.column(c).to_numpy() for c in range(4))
+            for o, r in np.unique(np.stack([order, region]), axis=1).T.tolist():
+                own = (order == o) & (region == r)
+                size = (1 << bits[o]) // _regions(bits[o])
+                keys = key[own].view(U)
+                got = _counts_of(code, keys, n[own].astype(np.float64), lines(keys, o, bits[o]) - r * size, size)
+                for total, x in zip(found.setdefault((o, r), [np.zeros(size), np.zeros(size)]), got, strict=True):
+                    total += x
+        for (o, r), (ones, seen) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([r], pa.int32()), pa.array([state(ones, seen).tobytes()])], names=["order", "region", "states"])
+
+    rows = None
+    for order, grams in by.items():
+        own = grams.select("key", "n").mapInArrow(dealt(order), schema)
+        rows = own if rows is None else rows.union(own)
+    parts = written(rows.repartition("order", "region").mapInArrow(made, "order int, region int, states binary"), "slots")
+    out = {k: np.zeros(1 << bits[k], np.uint16) for k in by}
+    for r in parts.toLocalIterator():
+        size = len(r["states"]) // 2
+        out[r["order"]][r["region"] * size : (r["region"] + 1) * size] = np.frombuffer(r["states"], np.uint16)
+    return out
 
 
 def _weights(grams: DataFrame, model: Mixer, tasks: int, rounds: int) -> np.ndarray:
@@ -244,49 +376,74 @@ def _weights(grams: DataFrame, model: Mixer, tasks: int, rounds: int) -> np.ndar
     sent = grams.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Mixer(sent.value.ones, sent.value.seen, sent.value.weights.copy())
+        m = Mixer(sent.value.code, sent.value.bits, sent.value.tables, sent.value.weights.copy())
         total, step = 0.0, 0
         for batch in batches:
             key, n = batch.column(0).to_numpy().view(U), batch.column(1).to_numpy()
             total += len(key)
             for _ in range(rounds):
                 for i in range(0, len(key), 4096):
-                    slot, bit = slots(key[i : i + 4096])
-                    m.learn(slot, bit, n[i : i + 4096], 0.5 / (1 + step / 50) + 0.02)
+                    m.learn(key[i : i + 4096], n[i : i + 4096], 0.5 / (1 + step / 50) + 0.02)
                     step += 1
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([m.weights.tobytes()])], names=["n", "w"])
+        at = np.arange(GATES * ORDERS)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), total)), pa.array(m.weights.ravel().astype(np.float64) * total)], names=["at", "n", "w"])
 
-    got = grams.select("key", "n").coalesce(tasks).mapInArrow(run, "n double, w binary").collect()
+    got = grams.select("key", "n").coalesce(tasks).mapInArrow(run, "at long, n double, w double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()
     sent.destroy()  # else each worker keeps its copy of the tables on disk
-    if not got:
-        return model.weights
-    return sum(r["n"] * np.frombuffer(r["w"]).reshape(model.weights.shape) for r in got) / sum(r["n"] for r in got)
+    out = model.weights.ravel().copy()
+    for r in got:
+        if r["n"]:
+            out[r["at"]] = r["w"] / r["n"]
+    return out.reshape(model.weights.shape)
 
 
 def _refined(grams: DataFrame, model: Mixer, tasks: int) -> np.ndarray:
-    """The adaptive map: how often the bit is one where the mixed logit is so and the byte's bits so far are so."""
+    """The adaptive map: how often the bit is one at a node where the mixed logit is so."""
     sent = grams.sparkSession.sparkContext.broadcast(model)
+    size = 256 * BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, total = sent.value, np.zeros((2, 256 * BUCKETS))
+        m, total = sent.value, np.zeros((2, size))
         for batch in batches:
             key, n = batch.column(0).to_numpy().view(U), batch.column(1).to_numpy().astype(np.float64)
-            for i in range(0, len(key), 1 << 14):
-                slot, bit = slots(key[i : i + (1 << 14)])
-                x = m.mixed(*m.inputs(slot, bit, 1.0))
-                at = (slot[:, :, 0] * BUCKETS + np.rint(x + 16).astype(np.int64)).ravel()
-                w = np.broadcast_to(n[i : i + (1 << 14), None], bit.shape)
-                total[0] += np.bincount(at, (w * bit).ravel(), 256 * BUCKETS)
-                total[1] += np.bincount(at, w.ravel(), 256 * BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["t"])
-
-    got = grams.select("key", "n").coalesce(tasks).mapInArrow(run, "t binary").collect()
+            for i in range(0, len(key), 1 << 15):
+                q, gate, at, of = m.inputs(key[i : i + (1 << 15)], own=True)
+                x = m.mixed(q, gate)
+                slot, w = m.code.node[at].astype(np.int64) * BUCKETS + np.rint(x + 16).astype(np.int64), n[i : i + (1 << 15)][of]
+                total[0] += np.bincount(slot, w * m.code.bit[at], size)
+                total[1] += np.bincount(slot, w, size)
+        some = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], names=["at", "ones", "seen"])
+
+    got = grams.select("key", "n").coalesce(tasks).mapInArrow(run, "at long, ones double, seen double").groupBy("at").agg(F.sum("ones").alias("ones"), F.sum("seen").alias("seen")).collect()
     sent.destroy()
-    ones, seen = np.sum([np.frombuffer(r["t"]).reshape(2, 256, BUCKETS) for r in got], axis=0) if got else np.zeros((2, 256, BUCKETS))
+    ones, seen = np.zeros(size), np.zeros(size)
+    for r in got:
+        ones[r["at"]], seen[r["at"]] = r["ones"], r["seen"]
     prior = 1 / (1 + np.exp(-(np.arange(BUCKETS) - 16.0)))
-    p = (ones + 20 * prior) / (seen + 20)
-    return np.log(p / (1 - p))
+    p = (ones.reshape(256, BUCKETS) + 20 * prior) / (seen.reshape(256, BUCKETS) + 20)
+    return np.log(p / (1 - p)).astype(np.float32)
+
+
+def _model(grams: DataFrame, rounds: int) -> Mixer:
+    """Tables of all orders, each summed from the one above it; then the weights and the map."""
+    by: dict[int, DataFrame] = {ORDERS - 1: grams}
+    for k in range(ORDERS - 2, 0, -1):
+        shorter = F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+        by[k] = written(by[k + 1].groupBy(shorter.alias("key")).agg(F.sum("n").alias("n")), f"grams{k}")
+    pairs = by[1].toArrow()  # of two bytes: at most 2**16 rows
+    key, n = pairs.column("key").to_numpy().astype(U), pairs.column("n").to_numpy().astype(np.float64)
+    code = Code(np.bincount((key & U(255)).astype(np.int64), n, 256))
+    rows = {k: by[k].count() for k in range(2, ORDERS)}
+    bits = (8, 16, *[min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(SLOTS_PER_GRAM * rows[k] + 1)))) for k in range(2, ORDERS)])
+    tables = [state(*_counts_of(code, key, n, lines(key, k, bits[k]), 1 << bits[k])) for k in (0, 1)]
+    higher = _tables({k: by[k] for k in range(2, ORDERS)}, code, bits)
+    tables += [higher[k] for k in range(2, ORDERS)]
+    model = Mixer(code, bits, tables, Mixer.empty().weights)
+    tasks = max(2, -(-rows[ORDERS - 1] // (1 << 21)))
+    model.weights = _weights(grams, model, tasks, rounds)
+    model.refined = _refined(grams, model, tasks)
+    return model
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2) -> Language:
@@ -309,11 +466,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: i
     top = tokens.filter(size(F.col("n")) >= least if least is not None else F.lit(False)).toArrow()
     hot_keys, hot_n = (top.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
     order = np.argsort(hot_keys)
-    tasks = max(2, -(-grams.count() // (1 << 21)))
-    model = Mixer.fresh(*_table(grams, tasks))
-    model.weights = _weights(grams, model, tasks, rounds)
-    model.refined = _refined(grams, model, tasks)
-    return Language(tokens, model, (hot_keys[order], hot_n[order]), n, v)
+    return Language(tokens, _model(grams, rounds), (hot_keys[order], hot_n[order]), n, v)
 
 
 TOKEN = T.StructType([T.StructField("key", T.LongType()), T.StructField("tf", T.LongType())])
@@ -341,9 +494,7 @@ def score(docs: DataFrame, language: Language, text: str = "text", keep: list[st
         for lo, hi in pieces(offsets, SCORE_BYTES):
             part, rows = offsets[lo : hi + 1], hi - lo
             seq, at = sequences(data, part)
-            cost = np.add.reduceat(predicted_once(model, seq), at[:-1], axis=1, dtype=np.float64)
-            low = cost.min(axis=0)
-            bits = low - np.log2(np.exp2(low - cost).mean(axis=0))
+            bits = model.bits_of(seq, at)
             w = words(data, part, NOT_SPACE)
             row = np.append(np.repeat(np.arange(rows), np.diff(w.row)), np.arange(rows))
             token = np.append(w.hashes.view(np.int64), np.full(rows, END_TOKEN))
@@ -366,7 +517,7 @@ def score(docs: DataFrame, language: Language, text: str = "text", keep: list[st
         return [*(pa.array(cat(m), to) for m, to in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), rest]
 
     names: dict[str, str] = {}
-    for name in ("row", "base_score", "score", "bits_per_byte", *[n for n, _ in RESULT]):
+    for name in ("row", "base_score", "score", "bits_per_byte", "met_row", "met_known", "met_logs", *[n for n, _ in RESULT]):
         names[name] = fresh([*keep, *names.values(), text], name)
     row, rest = names["row"], names["rest"]
     src = docs.select(*keep, F.col(text).alias(text)) if text not in keep else docs.select(*keep)
@@ -374,17 +525,18 @@ def score(docs: DataFrame, language: Language, text: str = "text", keep: list[st
     done = with_columns(src.withColumn(row, F.monotonically_increasing_id()), run, [T.StructField(names[n], t) for n, t in RESULT])
     done = written(done.select(*keep, row, *[names[n] for n, _ in RESULT]), "scores")
     sent.destroy()
-    each = done.select(F.col(row).alias("_r"), F.explode(rest).alias("x")).select("_r", "x.key", "x.tf")
-    met = each.join(language.tokens, "key").groupBy("_r").agg(F.sum("tf").alias("_known"), F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias("_logs"))
-    both = done.join(met, done[row] == met["_r"], "left")
+    met_row, met_known, met_logs = (names[n] for n in ("met_row", "met_known", "met_logs"))
+    each = done.select(F.col(row).alias("r"), F.explode(rest).alias("x")).select("r", "x.key", "x.tf")
+    met = each.join(language.tokens, "key").groupBy(F.col("r").alias(met_row)).agg(F.sum("tf").alias(met_known), F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias(met_logs))
+    both = done.join(met, done[row] == met[met_row], "left")
     n_tokens, norm = F.col(names["n_tokens"]), math.log10(language.n + language.v + 1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = both.select(
         *[done[c] for c in keep],
         names["n_bytes"],
         names["n_tokens"],
-        (F.col(names["n_known"]) + zero("_known")).alias(names["n_known"]),
-        (F.col(names["log_counts"]) + zero("_logs") - n_tokens * norm).alias(names["base_score"]),
+        (F.col(names["n_known"]) + zero(met_known)).alias(names["n_known"]),
+        (F.col(names["log_counts"]) + zero(met_logs) - n_tokens * norm).alias(names["base_score"]),
         (-F.col(names["bits"]) * math.log10(2)).alias(names["score"]),
         (F.col(names["bits"]) / F.col(names["n_bytes"])).alias(names["bits_per_byte"]),
     )

@@ -7,12 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import ann, decontaminate, graph, html_main, language, line_dedup, mixing, pieces, pii, simhash, suffix_dedup
 from quire.llm.queries import PIECES
+from quire.llm.words import raw
 
 WORDS = "the of and in a stone river light over under green small house walks sings cold bright old tree road".split()
 rng = np.random.default_rng(5)
@@ -291,14 +293,77 @@ def test_mixing(spark, docs):
     assert mixing.score(src.limit(0), lang, keep=["doc_id"])[0].count() == 0
 
 
+def random_mixer():
+    bits = (8, 16, 16, 17, 18, 18)
+    tables = [mixing.state(o, o + rng.integers(0, 9, 1 << b)) for b in bits for o in [rng.integers(0, 5, 1 << b).astype(float)]]
+    code = mixing.Code(rng.integers(0, 1000, 256).astype(float))
+    return mixing.Mixer(code, bits, tables, rng.uniform(0, 0.5, (mixing.GATES, mixing.ORDERS)).astype(np.float32), rng.standard_normal((256, mixing.BUCKETS)).astype(np.float32))
+
+
+def brute_bits(m, text):
+    """The model's bits of a text, one bit after another in plain Python; weights follow after each block of bits."""
+    data = [*decontaminate.lower_ascii(text).encode(), mixing.END]
+    delta, held, done, total = [0.0] * 6, [0.0] * 6, 0, 0.0
+    spread = lambda h: (h := (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64, h := (h ^ h >> 27) * 0x94D049BB133111EB % 2**64, h ^ h >> 31)[-1]
+    for i, byte in enumerate(data):
+        before = [mixing.END] * 5 + data[:i]
+        for d in range(int(m.code.size[byte])):
+            at = int(m.code.start[byte]) + d
+            node, bit, q = int(m.code.node[at]), int(m.code.bit[at]), []
+            for k in range(6):
+                ctx = int.from_bytes(bytes(before[len(before) - k :]), "big")
+                line = ctx << 8 if k < 2 else spread(ctx + (k << 48)) >> 64 - m.bits[k]
+                q.append(int(mixing.PLAIN[m.tables[k][line ^ node]]))
+            gate = min(d, 7) + 8 * sum(v != -128 for v in q)
+            q = [0 if v == -128 else v / mixing.PART for v in q]
+            x = max(-16.0, min(16.0, sum(float(w) * v for w, v in zip(m.weights[gate], q, strict=True))))
+            x = (x + float(m.refined[node][round(x + 16)])) / 2
+            x += sum(a * b for a, b in zip(delta, q, strict=True))
+            total += math.log2(1 + math.exp(-x if bit else x))
+            error = bit - 1 / (1 + math.exp(-x))
+            held = [h + error * v for h, v in zip(held, q, strict=True)]
+            done += 1
+            if done % mixing.BLOCK == 0:
+                delta, held = [a + mixing.RATE * h for a, h in zip(delta, held, strict=True)], [0.0] * 6
+    return total
+
+
+def sequences_of(texts):
+    return mixing.sequences(*raw(pa.array(texts)))
+
+
+def test_mixing_against_brute_force():
+    m = random_mixer()
+    texts = ["", "a", prose(400), "É 日本 x" * 30, prose(60), prose(60)]
+    got = m.frozen().bits_of(*sequences_of(texts))
+    assert np.allclose(got, [brute_bits(m, t) for t in texts], rtol=1e-3)
+    assert np.allclose(got, np.concatenate([m.bits_of(*sequences_of([t])) for t in texts]), rtol=1e-5)  # whatever else is in the batch
+
+
 def test_mixing_is_a_probability():
     """Over all next bytes after a context, the probabilities add up to one."""
-    model = mixing.Mixer.fresh(rng.integers(0, 5, mixing.BASE[-1]).astype(np.float32), rng.integers(5, 9, mixing.BASE[-1]).astype(np.float32))
-    model.refined = rng.standard_normal((256, mixing.BUCKETS))
+    m = random_mixer()
     key = (np.uint64(0x1234567890) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-    assert np.allclose(np.exp2(-model.costs(key)).sum(axis=1), 1)
-    again = np.concatenate([key, key])
-    assert np.allclose(mixing.predicted_once(model, again), np.concatenate([model.costs(key)] * 2, axis=1), rtol=1e-5)
+    start, x, _ = m.prepared(key)
+    assert np.isclose(np.exp(-np.add.reduceat(np.logaddexp(0, x.astype(float)), start)).sum(), 1)
+
+
+def test_mixing_counts_every_context(spark):
+    """Every order's slots hold the counts of all training texts, made by hand."""
+    texts = [prose(30), prose(50), "Ab a", "", None]
+    m = mixing.learn(spark.createDataFrame([(i * 100, t) for i, t in enumerate(texts)], "doc_id long, text string")).model
+    train = [t or "" for i, t in enumerate(texts) if zlib.crc32(str(i * 100).encode()) % 7 != 2]
+    key, _ = sequences_of(train)
+    for k in range(mixing.ORDERS):
+        ones, seen = np.zeros(1 << m.bits[k]), np.zeros(1 << m.bits[k])
+        for line, byte in zip(mixing.lines(key, k, m.bits[k]).tolist(), (key & np.uint64(255)).tolist(), strict=True):
+            for at in range(m.code.start[byte], m.code.start[byte] + m.code.size[byte]):
+                seen[line ^ int(m.code.node[at])] += 1
+                ones[line ^ int(m.code.node[at])] += m.code.bit[at]
+        assert (m.tables[k] == mixing.state(ones, seen)).all()
+    learned = m.bits_of(*sequences_of(train)).sum()
+    flat = mixing.Mixer(m.code, m.bits, [np.zeros_like(t) for t in m.tables], m.weights).bits_of(*sequences_of(train)).sum()
+    assert learned < flat / 3
 
 
 # 7
