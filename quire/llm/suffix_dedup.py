@@ -1,15 +1,23 @@
 """Suffix-array dedup: repeated passages of `least` words or more, by a sparse suffix array.
 
 Suffixes are retained at minimisers only: in every stretch of `least` words, the place whose first `seed` words hash least.
-Equal stretches choose equal places, so no repeat is missed.  The retained suffixes of all texts are sorted (by the hash
-of their first `seed` words, a range partition) and neighbours compared: a suffix that agrees with neither neighbour on its
-first words lies in no repeat, and is dropped.  The others extend to the left and to the right, over the stretches of
-`least` words that chose them: extension by hashes of whole stretches, not against the neighbour alone, since the neighbour
-that agrees longest to the right may differ at the left where another would not.  Stretches found twice merge into spans.
-
-Equal texts are one text throughout (their later copies are spans as a whole), so groups of copies cost one member.
-A suffix key of a large group is split by the range partition, as text and place make each row different; counts are
-partial sums.  Defined results: null texts, blank ones and those under `least` words have no span.  Rows that repeat an id
+Equal stretches choose equal places, so no repeat is missed.  The retained suffixes of all texts are sorted by their first
+`seed` words (a range partition, a word's order being that of its hash) and neighbours compared: a suffix that agrees with
+neither neighbour lies in no repeat, and is dropped.  Suffixes that are alike in all that matters to them, from the first word
+of the first stretch that chose them to the last word of the last, are one context from here on.
+
+The contexts of a seed are sorted on, word by word, and extend both ways.  To the right: neighbours in that order are compared
+over as many words as a stretch needs.  To the left: one word after another, the array is split by the word before, and in each
+part neighbours in the same order are compared again, over one word less.  So each stretch meets the suffix that agrees with it
+longest among those that agree to its left, which need not be its neighbour in the whole array; comparing with that neighbour
+alone would lose repeats.  What no other suffix follows to the left goes no further.  Stretches found twice merge into spans.
+
+A seed with more than `crowd` contexts is not held by one task: its contexts' stretches are dealt by the hash of their words,
+which finds the same stretches.  Equal texts are one text throughout (their later copies are spans as a whole), so groups of
+copies cost one member, and an occurrence of a context is only joined with what was found for the context.  Words, seeds and
+stretches are told apart by 64-bit hashes.
+
+Defined results: null texts, blank ones and those under `least` words have no span.  Rows that repeat an id
 and its text are one document.  The first occurrence is that of the smallest doc_id (null before all), then place.
 Empty tables give empty results.
 """
@@ -20,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import let
-from quire.llm.common import bounded_batches, partitions, strings, written
+from quire.llm.common import bounded_batches, list_array, partitions, strings, written
 from quire.llm.words import NOT_SPACE, expand, hash_ranges, mix, pieces, raw, words
 
 LEAST = 50
 #: Bits for the number of stretches that choose a place, and for how far before it the first begins.
 PACK = 12
 BATCH_BYTES = 2 << 20
+#: Contexts of one seed that a task holds; beyond it their stretches are dealt by their words.
+CROWD = 4096
 
 
 def anchors(hashes: np.ndarray, row: np.ndarray, least: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,31 +114,175 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from held.to_batches()
 
 
-def _stretches(least: int, seed: int):
-    """Rows (h, th, id, j, n, o, wh): the stretches of chosen suffixes; o: how far before the suffix each begins, wh: the hash of its words."""
+def _read_again(least: int, seed: int, dealt: bool):
+    """For texts with their contexts (own: m, a, nw, h, n, key).  Rows (key, h, th, id, m, lo, a, n, left, right): the words
+    before the suffix, backward, and those after its seed.  dealt: rows (h, th, id, j, n, o, wh) instead, one a stretch, o
+    being how far before the suffix it begins and wh the hash of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             th, ids, lists = batch.column(0).to_numpy(), batch.column(1), batch.column(3)
             at, flat = lists.offsets.to_numpy(), lists.values
-            m, a, nw, h, n = (flat.field(c).to_numpy() for c in ("m", "a", "nw", "h", "n"))
+            m, a, nw, h, n, key = (flat.field(c).to_numpy() for c in ("m", "a", "nw", "h", "n", "key"))
             data, offsets = raw(strings(batch, "t"))
             for lo, hi in pieces(offsets, BATCH_BYTES):
                 w = words(data, offsets[lo : hi + 1], NOT_SPACE)
                 own, row = expand(at[lo:hi], np.diff(at[lo : hi + 1]))
-                begin, which = expand(m[own] - a[own], nw[own])
-                own, row = own[which], row[which]
-                start = begin + w.row[row]
-                wh = hash_ranges(w.hashes, start, start + least) if len(start) else np.zeros(0, np.uint64)
+                if not len(own):
+                    continue
+                if dealt:
+                    begin, which = expand(m[own] - a[own], nw[own])
+                    own, row = own[which], row[which]
+                    start = begin + w.row[row]
+                    wh = hash_ranges(w.hashes, start, start + least)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[own]), pa.array(th[lo + row]), ids.take(pa.array(lo + row)), pa.array(begin.astype(np.int32)), pa.array(n[own]), pa.array((m[own] - begin).astype(np.int32)), pa.array(wh.view(np.int64))],
+                        names=["h", "th", "id", "j", "n", "o", "wh"],
+                    )
+                    continue
+                place, first = m[own] + w.row[row], a[own] - nw[own] + 1
+                before, i = expand(np.zeros(len(own), np.int64), a[own])
+                left = list_array(pa.array(w.hashes[place[i] - 1 - before].view(np.int64)), a[own])
+                after, i = expand(np.zeros(len(own), np.int64), least - seed - first)
+                right = list_array(pa.array(w.hashes[place[i] + seed + after].view(np.int64)), least - seed - first)
+                ints = lambda x: pa.array(x.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[own]), pa.array(th[lo + row]), ids.take(pa.array(lo + row)), pa.array(begin.astype(np.int32)), pa.array(n[own]), pa.array((m[own] - begin).astype(np.int32)), pa.array(wh.view(np.int64))],
-                    names=["h", "th", "id", "j", "n", "o", "wh"],
+                    [pa.array(key[own]), pa.array(h[own]), pa.array(th[lo + row]), ids.take(pa.array(lo + row)), ints(m[own]), ints(first), ints(a[own]), pa.array(n[own]), left, right],
+                    names=["key", "h", "th", "id", "m", "lo", "a", "n", "left", "right"],
                 )
 
     return run
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of `width` numbers, zeros after what a list has."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    size = np.diff(at)
+    out = np.zeros((len(lists), width), np.int64)
+    row = np.repeat(np.arange(len(lists)), size)
+    out[row, np.arange(at[0], at[-1]) - at[:-1][row]] = lists.values.to_numpy()[at[0] : at[-1]]
+    return out
+
+
+def extended(seed_of: np.ndarray, left: np.ndarray, right: np.ndarray, lo: np.ndarray, a: np.ndarray, n: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The repeated stretches of contexts: (context, how far before the suffix it begins, whether the context has its first
+    occurrence).  seed_of: equal for contexts of one seed; lo to a: how far before the suffix its stretches begin; n: how often
+    the context occurs; rank: the order of first occurrences."""
+    width = right.shape[1]
+    array = np.lexsort((*right.T[::-1], seed_of))  # the suffix array: of each seed, by the words that follow
+    part = seed_of[array]
+    found: list[list[np.ndarray]] = [[], [], []]
+    for o in range(width + 1):
+        # parts agree on o words to the left; in each the order is that of the words to the right
+        part = np.unique(part, return_inverse=True)[1]
+        by_part = np.argsort(part, kind="stable")
+        array, part = array[by_part], part[by_part]
+        here = np.flatnonzero((lo[array] <= o) & (o <= a[array]))
+        if len(here):
+            row, own = array[here], part[here]
+            same = (own[1:] == own[:-1]) & (right[row[1:], : width - o] == right[row[:-1], : width - o]).all(axis=1)
+            begin = np.flatnonzero(np.concatenate([[True], ~same]))
+            group = np.cumsum(np.concatenate([[0], ~same]))
+            twice = np.add.reduceat(n[row], begin)[group] > 1
+            first = np.minimum.reduceat(rank[row], begin)[group] == rank[row]
+            for out, x in zip(found, (row, np.full(len(row), o), first), strict=True):
+                out.append(x[twice])
+        if o == width:
+            break
+        # one word further to the left: what is alone there and occurs once is in no longer repeat
+        go = a[array] > o
+        array, part = array[go], part[go]
+        if not len(array):
+            break
+        pair = np.lexsort((left[array, o], part))
+        word, own = left[array[pair], o], part[pair]
+        new = np.cumsum(np.concatenate([[0], (word[1:] != word[:-1]) | (own[1:] != own[:-1])]))
+        part = np.empty(len(array), np.int64)
+        part[pair] = new
+        go = np.bincount(new, n[array[pair]])[part] > 1
+        array, part = array[go], part[go]
+        if not len(array):
+            break
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+
+
+CHUNK = 1 << 15
+
+
+def _found(least: int, seed: int):
+    """For rows of _read_again sorted by key: rows (h, th, id, m, flags), flags being the context's repeated stretches."""
+    width = least - seed
+
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        col = lambda c: t.column(c).chunk(0)
+        order = pc.sort_indices(t, sort_keys=[("id", "ascending"), ("th", "ascending"), ("m", "ascending")], null_placement="at_start").to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        seed_of = np.unique(col("key").to_numpy(), return_inverse=True)[1]
+        row, o, first = extended(seed_of, _matrix(col("left"), width), _matrix(col("right"), width), *(col(c).to_numpy() for c in ("lo", "a", "n")), rank)
+        by_row = np.argsort(row, kind="stable")
+        row, o, first = row[by_row], o[by_row], first[by_row]
+        count = np.bincount(row, minlength=t.num_rows)
+        some = np.flatnonzero(count)
+        flags = pa.StructArray.from_arrays([pa.array(o.astype(np.int32)), pa.array(first.astype(bool))], ["o", "own"])
+        kept = t.select(["h", "th", "id", "m"]).take(pa.array(some)).append_column("flags", list_array(flags, count[some]))
+        yield from kept.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < CHUNK:
+                continue
+            t = pa.Table.from_batches(held)
+            key = t.column("key").to_numpy()
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0  # the last seed may go on
+            if cut:
+                yield from of(t.slice(0, cut))
+            held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+        if rows:
+            yield from of(pa.Table.from_batches(held))
+
+    return run
+
+
+def _flags(src: DataFrame, context: DataFrame, least: int, seed: int, crowd: int) -> DataFrame:
+    """(h, th, id, m, flags) of contexts with repeated stretches, written; th, id and m are the context's first occurrence."""
+    kind = src.schema["id"].dataType.simpleString()
+    schema = f"h long, th long, id {kind}, m int, flags array<struct<o:int,own:boolean>>"
+    many = context.groupBy("key").agg(F.count("*").alias("contexts"))
+    context = written(context.join(many, "key"), "crowds")
+    # a context alone in its seed is repeated as a whole, by itself
+    alone = context.filter((F.col("contexts") == 1) & (F.col("n") > 1))
+    whole = F.transform(F.sequence(F.col("a") - F.col("nw") + 1, F.col("a")), lambda o: F.struct(o.alias("o"), F.lit(True).alias("own")))
+    alone = alone.select("h", "f.th", "f.id", "f.m", whole.alias("flags"))
+
+    def met(some: DataFrame, dealt: bool, out: str) -> DataFrame:
+        own = F.struct("f.m", "a", "nw", "h", "n", "key")
+        chosen = some.groupBy(F.col("f.th").alias("_t"), F.col("f.id").alias("_i")).agg(F.collect_list(own).alias("own"))
+        both = src.join(chosen, (src["th"] == F.col("_t")) & src["id"].eqNullSafe(F.col("_i"))).select("th", "id", "t", "own")
+        return both.mapInArrow(_read_again(least, seed, dealt), out)
+
+    few = met(context.filter((F.col("contexts") > 1) & (F.col("contexts") <= crowd)), False, f"key long, h long, th long, id {kind}, m int, lo int, a int, n long, left array<long>, right array<long>").distinct()
+    few = few.repartition(partitions(src.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_found(least, seed), schema)
+    hot = context.filter(F.col("contexts") > crowd)
+    out = alone.union(few)
+    if hot.limit(1).count():
+        stretches = written(met(hot, True, f"h long, th long, id {kind}, j int, n long, o int, wh long").distinct(), "stretches")
+        place = F.struct("id", "th", "j")
+        twice = written(stretches.groupBy("wh").agg(F.sum("n").alias("times"), F.min(place).alias("first")).filter("times > 1").drop("times"), "twice")
+        each = stretches.join(twice, "wh")
+        each = each.groupBy("h", "th", "id", (F.col("j") + F.col("o")).alias("m")).agg(F.collect_list(F.struct("o", (place == F.col("first")).alias("own"))).alias("flags"))
+        out = out.union(each.select("h", "th", "id", "m", "flags"))
+    return written(out, "flags")
+
+
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, crowd: int = CROWD) -> DataFrame:
     """One row for each document with a repeated passage: id, n_words, and two lists of spans of word places, ordered and
     apart: repeated (all that occurs elsewhere too) and later (without what occurs here first)."""
     spark = docs.sparkSession
@@ -136,7 +291,6 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     if least >= 1 << PACK:
         raise ValueError(f"least must be under {1 << PACK}")
     src = docs.select(F.xxhash64(text).alias("th"), F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    kind = docs.schema[doc_id].dataType.simpleString()
     schema = "key long, h long, th long, p long"
     once = written(src.select("th", "t").mapInArrow(_retained(least, seed), schema).distinct(), "suffixes")
     order = ["key", "h", "th", "p"]
@@ -144,19 +298,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     alike = ordered.mapInArrow(_neighbours, schema)
     bits = lambda n: F.col("p").bitwiseAND(F.lit((1 << PACK) - 1)) if not n else F.shiftright("p", n * PACK).bitwiseAND(F.lit((1 << PACK) - 1))
     copies = written(src.groupBy("th").agg(F.count("*").alias("copies"), F.min("id").alias("id")), "texts")
-    alike = alike.select("h", "th", F.shiftright("p", 2 * PACK).cast("int").alias("m"), bits(1).cast("int").alias("a"), bits(0).cast("int").alias("nw"))
+    alike = alike.select("key", "h", "th", F.shiftright("p", 2 * PACK).cast("int").alias("m"), bits(1).cast("int").alias("a"), bits(0).cast("int").alias("nw"))
     alike = written(alike.join(copies.drop("copies"), "th"), "alike")
-    # suffixes that agree over all their stretches are one context; its stretches are hashed once
-    context = alike.groupBy("h").agg(F.min(F.struct("id", "th", "m")).alias("f"), F.count("*").alias("n"), F.first("a").alias("a"), F.first("nw").alias("nw"))
-    context = written(context, "contexts")
-    chosen = context.groupBy(F.col("f.th").alias("_t"), F.col("f.id").alias("_i")).agg(F.collect_list(F.struct("f.m", "a", "nw", "h", "n")).alias("own"))
-    met = src.join(chosen, (src["th"] == F.col("_t")) & src["id"].eqNullSafe(F.col("_i"))).select("th", "id", "t", "own")
-    stretches = written(met.mapInArrow(_stretches(least, seed), f"h long, th long, id {kind}, j int, n long, o int, wh long").distinct(), "stretches")
-    place = F.struct("id", "th", "j")
-    twice = stretches.groupBy("wh").agg(F.sum("n").alias("times"), F.min(place).alias("first")).filter("times > 1").drop("times")
-    flags = stretches.join(twice, "wh").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("o", (place == F.col("first")).alias("own")))).alias("flags"))
-    flags = flags.join(context.select("h", "f"), "h")
-    each = alike.join(flags, "h")
+    context = alike.groupBy("h").agg(F.min(F.struct("id", "th", "m")).alias("f"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("key", "a", "nw")])
+    flags = _flags(src, written(context, "contexts"), least, seed, crowd)
+    flags = flags.select("h", F.struct("id", "th", "m").alias("f"), "flags")
+    each = alike.drop("key", "a", "nw").join(flags, "h")
     here = F.struct("id", "th", "m").eqNullSafe(F.col("f"))
     found = F.transform("flags", lambda x: F.struct((F.col("m") - x["o"]).alias("j"), (~(x["own"] & here)).alias("later")))
     each = each.select("th", F.sort_array(found).alias("s"))

@@ -105,6 +105,17 @@ def test_suffix_dedup(spark, docs):
     assert suffix_dedup.without("a b  c d", [(1, 3)]) == "a d"
 
 
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_suffixes_extend_both_ways(spark, crowd):
+    """Few words and short stretches: every seed has many contexts that agree more to the one side or to the other."""
+    own = np.random.default_rng(8)
+    phrase = [" ".join(own.choice(list("abc"), 9)) for _ in range(4)]
+    texts = [" ".join(" ".join([str(own.choice(phrase)), " ".join(own.choice(list("abcd"), int(own.integers(0, 6))))]) for _ in range(int(own.integers(1, 5)))) for _ in range(60)]
+    rows = [(i if i != 7 else None, t) for i, t in enumerate(texts)] + [(100, texts[0]), (101, None)]
+    got = {r.doc_id: ([tuple(x) for x in r.repeated], [tuple(x) for x in r.later]) for r in suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), least=10, crowd=crowd).collect()}
+    assert got == brute_repeats(rows, 10)
+
+
 def test_anchors_are_chosen_by_content():
     h = rng.integers(1, 1 << 62, 300).astype(np.uint64)
     row = np.array([0, 300])
