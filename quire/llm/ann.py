@@ -2,13 +2,17 @@
 
 Equal vectors are one node, with the smallest ids of its members.  The graph starts from chunks of nodes that stand next to
 each other when sorted by the signs of random projections, several times over.  Then each round joins every node with its
-neighbours and the nodes it neighbours, compares these with one another, and each keeps the nearest it has seen: neighbours
-of neighbours.  A search holds a beam for each query; each hop joins the nearest unexpanded nodes with the graph, then their
-neighbours with the vectors, and keeps the nearest, until nothing in the beam is unexpanded.
-
-All distances are in double precision on the vectors as given, so vectors of any size can stand in one table.  Every valid vector
-is in the graph.  A query that finds fewer than k is answered by a scan, so small or parted graphs lose nothing.
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of
+neighbours and with the nearest of the nodes it neighbours, and compares these with one another: neighbours of neighbours.
+Only pairs of which one has come since the last round are compared, whatever is nearer than a node's worst neighbour is
+proposed, and each node keeps the nearest it has seen; rounds go on until hardly any neighbour is new.  A node that many
+name is reduced to its nearest namers in every task before anything is sent.  A search holds a beam for each query; each hop
+joins the nearest unexpanded nodes with the graph, then their neighbours with the vectors, and keeps the nearest, until
+nothing in the beam is unexpanded.
+
+Graph and beam compare vectors in half precision, each scaled by its own largest component, in double arithmetic; so vectors of
+any size can stand in one table.  What a search finds is ranked by distances in double precision on the vectors as given.
+Every valid vector is in the graph.  A query that finds fewer than k is answered by a scan, so small or parted graphs lose
+nothing.  Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of
 another length than the most common (of equally common lengths the largest).  Rows that repeat an id and a vector are one;
 distances tie to the smaller id.  Empty tables give empty results.
 """
@@ -27,12 +31,11 @@ from quire.llm.common import bounded_batches, partitions, written
 DEGREE = 28
 TREES = 4
 CHUNK = 512
-ROUNDS = 5
+#: Rounds end when this part of all neighbours, or less, is new.
+SETTLED = 0.002
 BEAM = 320
 EXPAND = 80
-MOST_HOPS = 24
 QUERY_BLOCK = 2048
-NEAR = "array<struct<d:double,u:long>>"
 
 
 def usable(v: Column) -> Column:
@@ -95,8 +98,24 @@ def _grouped(fn: Callable[[list[pa.Array], np.ndarray], pa.RecordBatch], key: st
     return run
 
 
-def _vectors(t: pa.Table, col: str) -> np.ndarray:
-    return t.column(col).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).astype(np.float64)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, x) to (node, s, z): the largest component, and all over it in half precision."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            x = batch.column(1).flatten().to_numpy().reshape(n, -1)
+            s = np.abs(x).max(axis=1)
+            z = (x / s[:, None]).astype(np.float16)
+            data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * z.shape[1] * 2, z.shape[1] * 2, dtype=np.int32)), pa.py_buffer(z.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), data], names=["node", "s", "z"])
+
+
+def _vectors(t: pa.Table, s: str = "s", z: str = "z") -> np.ndarray:
+    scale, col = t.column(s).to_numpy(), t.column(z).combine_chunks()
+    col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2], np.float16)[at[0] // 2 : at[-1] // 2]
+    return data.reshape(len(col), -1).astype(np.float64) * scale[:, None]
 
 
 def nearest_of(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,31 +130,68 @@ def nearest_of(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
 
 
+EDGE = "u long, d double, v long, new boolean"
+
+
+def _first(t: pa.Table, degree: int, by: str = "u") -> pa.Table:
+    """Of rows in any order, the `degree` nearest different ones of each; of equal ones that which is not new."""
+    u, d, v, new = (t.column(c).to_numpy(zero_copy_only=False) for c in (by, "d", "v" if by == "u" else "u", "new"))
+    order = np.lexsort((new, v, d, u))
+    u, d, v = u[order], d[order], v[order]
+    other = np.ones(len(u), bool)
+    other[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (d[1:] != d[:-1])
+    order, u = order[other], u[other]
+    begin = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+    rank = np.arange(len(u)) - np.repeat(begin, np.diff(np.append(begin, len(u))))
+    return t.take(pa.array(order[rank < degree]))
+
+
+def _reduced(degree: int, by: str):
+    """In a task, the nearest of each: before rows are sent, and, where a task has all rows of a node, after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, kept = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > kept * 2 + (1 << 20):
+                t = _first(pa.Table.from_batches(held), degree, by)
+                held, rows, kept = t.to_batches(), t.num_rows, t.num_rows
+        if rows:
+            yield from _first(pa.Table.from_batches(held), degree, by).to_batches()
+
+    return run
+
+
+def nearest_rows(edges: DataFrame, degree: int, by: str = "u") -> DataFrame:
+    """The `degree` nearest rows of each node, reduced in the tasks before they are dealt by node."""
+    n = partitions(edges.sparkSession)
+    return edges.mapInArrow(_reduced(degree, by), EDGE).repartition(n, by).mapInArrow(_reduced(degree, by), EDGE)
+
+
 def start(points: DataFrame, trees: int, chunk: int, degree: int, seed: int = 11) -> DataFrame:
-    """(u, near): from neighbours in the order of random projections' signs.  points: (node, z)."""
-    z = points.schema["z"].dataType.simpleString()
+    """Edges from neighbours in the order of random projections' signs."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if not t.num_rows:
+            if not batch.num_rows:
                 continue
-            x = _vectors(t, "z")
+            x = _vectors(pa.Table.from_batches([batch]))
+            x /= np.abs(x).max(axis=1, keepdims=True)  # only signs count
             for tree in range(trees):
                 planes = np.random.default_rng([seed, tree]).standard_normal((x.shape[1], 32))
                 bits = (x @ planes > 0).astype(np.int64)
                 code = bits @ (1 << np.arange(31, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code), batch.column(0), batch.column(1)], names=["tree", "code", "node", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code), *batch.columns], names=["tree", "code", "node", "s", "z"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def of(t: pa.Table) -> pa.RecordBatch:
-            x, ids = _vectors(t, "z"), t.column("node").to_numpy()
+            x, ids = _vectors(t), t.column("node").to_numpy()
             k = min(degree, len(ids) - 1)
             best, d = nearest_of(x, k) if k else (np.zeros((1, 0), np.int64), np.zeros((1, 0)))
-            flat = pa.StructArray.from_arrays([pa.array(d.ravel()), pa.array(ids[best].ravel())], ["d", "u"])
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(ids) + 1, k or 1, dtype=np.int32) if k else np.zeros(len(ids) + 1, np.int32)), flat)], names=["u", "near"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(d.ravel()), pa.array(ids[best].ravel()), pa.array(np.ones(d.size, bool))], names=["u", "d", "v", "new"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -146,104 +202,98 @@ def start(points: DataFrame, trees: int, chunk: int, degree: int, seed: int = 11
         if held is not None and held.num_rows:
             yield of(held.combine_chunks())
 
-    n = partitions(points.sparkSession)
-    code = written(points.mapInArrow(coded, f"tree int, code long, node long, z {z}"), "codes")
-    dealt = code.repartitionByRange(n, "tree", "code", "node").sortWithinPartitions("tree", "code", "node")
-    got = dealt.mapInArrow(near, f"u long, near {NEAR}")
-    return merged(got.select("u", F.explode("near").alias("x")).select("u", "x"), degree)
+    code = written(points.mapInArrow(coded, "tree int, code long, node long, s double, z binary"), "codes")
+    dealt = code.repartitionByRange(partitions(points.sparkSession), "tree", "code", "node").sortWithinPartitions("tree", "code", "node")
+    return nearest_rows(dealt.mapInArrow(near, EDGE), degree).filter("u <> v")
 
 
-def merged(pairs: DataFrame, degree: int) -> DataFrame:
-    """(u, near): the nearest of (u, x) pairs.  At most degree + degree**2 reach a node in a round, apart from hubs."""
-    kept = F.slice(F.array_sort(F.array_distinct(F.collect_list("x"))), 1, degree)
-    return pairs.groupBy("u").agg(kept.alias("near"))
+def around(graph: DataFrame, degree: int) -> DataFrame:
+    """(w, m, new): each node with its neighbours, and with the nearest of the nodes that have it as a neighbour."""
+    back = nearest_rows(graph, degree, "v")
+    both = graph.select(F.col("u").alias("w"), F.col("v").alias("m"), "new").union(back.select(F.col("v").alias("w"), F.col("u").alias("m"), "new"))
+    return both.groupBy("w", "m").agg(F.max("new").alias("new"))
 
 
-def descend(graph: DataFrame, points: DataFrame, degree: int, best: int = 10) -> DataFrame:
-    """One round of NN-descent."""
+def descend(graph: DataFrame, points: DataFrame, degree: int) -> DataFrame:
+    """One round of NN-descent: the graph after it, written."""
     n = partitions(points.sparkSession)
-    edges = graph.select("u", F.explode("near").alias("x")).select("u", F.col("x.u").alias("v"), F.col("x.d").alias("d"))
-
-    def nearest(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:  # of the nodes that name v, the nearest
-        size = np.diff(begin)
-        rank = np.arange(t.num_rows) - np.repeat(begin[:-1], size)
-        return t.select(["v", "u"]).filter(pa.array(rank < degree)).combine_chunks().to_batches()[0]
-
-    back = edges.select("v", "d", "u").repartition(n, "v").sortWithinPartitions("v", "d", "u").mapInArrow(_grouped(nearest, "v"), "v long, u long")
-    both = edges.select(F.col("u").alias("v"), F.col("v").alias("u")).union(back).distinct()
-    limit = graph.select(F.col("u").alias("node"), F.element_at("near", -1)["d"].alias("worst"), (F.size("near") < degree).alias("few"))
-    at = points.join(limit, "node", "left")
-    met = both.join(at, both["u"] == at["node"]).select("v", "u", "z", F.when(F.col("few"), float("inf")).otherwise(F.col("worst")).alias("worst"))
+    worst = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(float("inf")).alias("worst"))
+    at = points.join(worst, points["node"] == worst["u"], "left").select("node", "s", "z", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+    members = written(around(graph, degree), "members")
+    live = members.filter("new").select(F.col("w").alias("_w")).distinct()  # the rest has nothing to compare
+    met = members.join(live, members["w"] == live["_w"], "left_semi").join(at, members["m"] == at["node"]).select("w", "m", "new", "worst", "s", "z")
 
     def joined(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
-        x, ids, worst = _vectors(t, "z"), t.column("u").to_numpy(), np.nan_to_num(t.column("worst").to_numpy(), nan=np.inf, posinf=np.inf)
+        x, ids, worst, new = _vectors(t), *(t.column(c).to_numpy(zero_copy_only=False) for c in ("m", "worst", "new"))
         a, b, dist = [], [], []
         for s, e in zip(begin[:-1], begin[1:], strict=True):
             if e - s < 2:
                 continue
-            near, dd = nearest_of(x[s:e], min(best, e - s - 1))
-            i, j = np.nonzero(dd < worst[s:e, None])
-            a.append(ids[s + i])
-            b.append(ids[s + near[i, j]])
-            dist.append(dd[i, j])
-        cat = lambda v, t: pa.array(np.concatenate(v) if v else np.zeros(0, t))
-        return pa.RecordBatch.from_arrays([cat(a, np.int64), cat(dist, np.float64), cat(b, np.int64)], names=["u", "d", "v"])
-
-    new = met.repartition(n, "v").sortWithinPartitions("v", "u").mapInArrow(_grouped(joined, "v"), "u long, d double, v long")
-    pair = F.struct(F.col("d"), F.col("v").alias("u")).alias("x")
-    return merged(edges.select("u", pair).union(new.distinct().select("u", pair)), degree)
-
-
-def build(distinct: DataFrame, degree: int = DEGREE, trees: int = TREES, chunk: int = CHUNK, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Of nodes (node, x, ...): points (node, z), z being x, as floats if that loses nothing; and the graph (u, near), each
-    node's nearest found, nearest first."""
-    wide = distinct.filter(F.exists("x", lambda c: c.cast("float").cast("double") != c)).limit(1).count()
-    points = written(distinct.select("node", F.col("x").cast("array<double>" if wide else "array<float>").alias("z")), "points")
-    return points, _graph(points, degree, trees, chunk, rounds)
-
-
-def _graph(points: DataFrame, degree: int, trees: int, chunk: int, rounds: int) -> DataFrame:
+            own = x[s:e]
+            norm = np.square(own).sum(axis=1)
+            d = norm[:, None] + norm[None, :] - 2 * (own @ own.T)
+            fresh = new[s:e, None] | new[None, s:e]
+            near = fresh & (d < worst[s:e, None] * (1 + 1e-9) + 1e-9 * (norm[:, None] + norm[None, :]))
+            np.fill_diagonal(near, False)
+            i, j = np.nonzero(near)
+            exact = np.square(own[i] - own[j]).sum(axis=1)
+            keep = exact < worst[s:e][i]
+            a.append(ids[s + i[keep]])
+            b.append(ids[s + j[keep]])
+            dist.append(exact[keep])
+        cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
+        a = cat(a, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(cat(dist, np.float64)), pa.array(cat(b, np.int64)), pa.array(np.ones(len(a), bool))], names=["u", "d", "v", "new"])
+
+    found = met.repartition(n, "w").sortWithinPartitions("w", "m").mapInArrow(_grouped(joined, "w"), EDGE)
+    old = graph.select("u", "d", "v", F.lit(False).alias("new"))
+    return written(nearest_rows(old.union(found), degree), "graph")
+
+
+def build(distinct: DataFrame, degree: int = DEGREE, trees: int = TREES, chunk: int = CHUNK, settled: float = SETTLED) -> tuple[DataFrame, DataFrame]:
+    """Of nodes (node, x, ...): points (node, s, z), and the graph (u, d, v, new), each node's nearest found.  Distances only
+    become less, so the rounds end."""
+    points = written(distinct.select("node", "x").mapInArrow(_packed, "node long, s double, z binary"), "points")
     graph = written(start(points, trees, chunk, degree), "graph")
-    for _ in range(rounds):
-        graph = written(descend(graph, points, degree), "graph")
-    return graph
+    total = graph.count()
+    while graph.filter("new").count() > settled * total:
+        graph = descend(graph, points, degree)
+    return points, graph
 
 
-def search(graph: DataFrame, points: DataFrame, entries: DataFrame, k: int, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+def search(graph: DataFrame, points: DataFrame, entries: DataFrame, degree: int = DEGREE, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """(q, near): the nodes in the beam of each query at the end, as array<struct<d, u>>.
-    entries: (q, z, entry), entry being an array of nodes and z the query as points have it."""
+    entries: (q, s, z, entry), entry being an array of nodes, and the query as points have theirs.  A hop expands nodes that
+    it has not expanded before, so the search ends."""
     kind = "array<struct<d:double,u:long>>"
-    vectors = points.select(F.col("node").alias("n"), F.col("z").alias("y"))
-    links = graph.select(F.col("u").alias("n"), F.transform("near", lambda e: e["u"]).alias("to"))
-    asked = entries.select(F.col("q").alias("_q"), "z")
+    vectors = points.select(F.col("node").alias("n"), F.col("s").alias("t"), F.col("z").alias("y"))
+    links = written(around(graph, degree).select(F.col("w").alias("n"), F.col("m").alias("to")), "links")
+    asked = entries.select(F.col("q").alias("_q"), "s", "z")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 t = pa.Table.from_batches([batch])
-                d = np.sqrt(np.square(_vectors(t, "z") - _vectors(t, "y")).sum(axis=1))
+                d = np.sqrt(np.square(_vectors(t) - _vectors(t, "t", "y")).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d), batch.column(1)], names=["q", "d", "u"])
 
     def distance(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(vectors, pairs["u"] == vectors["n"]).join(asked, F.col("q") == F.col("_q")).select("q", "u", "z", "y")
+        met = pairs.join(vectors, pairs["u"] == vectors["n"]).join(asked, F.col("q") == F.col("_q")).select("q", "u", "s", "z", "t", "y")
         return met.mapInArrow(measured, "q long, d double, u long")
 
     first = distance(entries.select("q", F.explode("entry").alias("u")).distinct())
     state = first.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "u"))), 1, beam).alias("near")).withColumn("done", F.array().cast("array<long>"))
     state = written(state, "beam")
-    for _ in range(MOST_HOPS):
-        open_ = F.filter(F.transform("near", lambda e: e["u"]), lambda u: ~F.array_contains("done", u))
+    open_ = F.array_except(F.transform("near", lambda e: e["u"]), F.col("done"))
+    while state.filter(F.size(open_) > 0).limit(1).count():
         go = state.select("q", F.explode(F.slice(open_, 1, expand)).alias("u"))
-        seen = F.transform("near", lambda e: e["u"])
-        found = go.join(links, go["u"] == links["n"]).select("q", F.explode("to").alias("u")).distinct()
-        old = state.select("q", F.explode(seen).alias("u"))
+        found = go.join(links, go["u"] == links["n"]).select("q", F.col("to").alias("u")).distinct()
+        old = state.select("q", F.explode(F.array_union(F.transform("near", lambda e: e["u"]), F.col("done"))).alias("u"))
         new = distance(found.join(old, ["q", "u"], "left_anti")).groupBy("q").agg(F.collect_list(F.struct("d", "u")).alias("more"))
         now = state.join(new, "q", "left")
         near = F.slice(F.array_sort(F.concat("near", F.coalesce("more", F.array().cast(kind)))), 1, beam)
         done = F.array_union("done", F.slice(open_, 1, expand))
         state = written(now.select("q", near.alias("near"), done.alias("done")), "beam")
-        if not state.filter(F.exists("near", lambda e: ~F.array_contains("done", e["u"]))).limit(1).count():
-            break
     return state.select("q", "near")
 
 
@@ -309,8 +359,8 @@ def neighbours(vectors: DataFrame, wanted: Column, vec_id: str = "vec_id", vecto
         near = exact(distinct, queries, k)
     else:
         points, graph = build(distinct)
-        entries = queries.select("q").join(points, F.col("q") == F.col("node")).select("q", "z", F.array("node").alias("entry"))
-        near = written(reranked(search(graph, points, entries, k), distinct, queries, k), "found")
+        entries = queries.select("q").join(points, F.col("q") == F.col("node")).select("q", "s", "z", F.array("node").alias("entry"))
+        near = written(reranked(search(graph, points, entries), distinct, queries, k), "found")
         enough = min(k + 1, distinct.count())
         short = written(queries.join(near.filter(F.size("near") >= enough).select("q"), "q", "left_anti"), "short")
         near = near.join(short, "q", "left_anti").union(exact(distinct, short, k))
