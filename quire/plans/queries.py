@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import crops, hashes, piecewise
 from quire.functions import geometry as g
-from quire.functions import hashes
 from quire.functions import text as t
-from quire.operators import anchors, documents, evaluate, layout, pages
+from quire.operators import anchors, documents, evaluate, layout, pages, recognised, reports, store
 from quire.sources import html, plain
 from quire.streaming import state
 
@@ -407,10 +407,11 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.unix_timestamp("start").alias("hour"), "event_type", "n")
 
 
-@query("select o_orderkey as page, o_orderkey % 5 = 0 or o_orderkey = 15000 or o_orderkey = 1 as save from orders")
+@query("select o_orderkey as page, o_orderkey % 5 = 0 or o_orderkey = (select max(o_orderkey) from orders) or o_orderkey = 1 as save from orders")
 def checkpoint_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders", "o_orderkey")
-    return o.select(F.col("o_orderkey").alias("page"), state.save_here(F.col("o_orderkey"), F.lit(15000), F.col("o_orderkey")).alias("save"))
+    total = o.agg(F.max("o_orderkey")).first()[0]
+    return o.select(F.col("o_orderkey").alias("page"), state.save_here(F.col("o_orderkey"), F.lit(total), F.col("o_orderkey")).alias("save"))
 
 
 @query(f"with {BLOCKS} select doc_id, block_idx, block_id, {TRIM('content')} as title, 1 as level from b where type = 'heading' and {TRIM('content')} <> ''")
@@ -429,3 +430,168 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = _read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("doc_id"))
     li = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").withColumnRenamed("l_orderkey", "doc_id")
     return documents.cascade(gone, {"lines": li})["lines"].select(F.col("doc_id").alias("l_orderkey"), "l_linenumber")
+
+
+# documents, notes and progress as stored
+
+
+@query("""select d.doc_id, d.lang, count(*) as n_notes, min(l.quality) as quality from documents d join labels l on d.doc_id = l.doc_id group by d.doc_id, d.lang""")
+def loaded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, notes = _read(spark, sf_dir, "documents", "doc_id", "lang"), _read(spark, sf_dir, "labels", "doc_id", "quality").withColumn("block_idx", F.lit(0))
+    return store.loaded(docs, notes).select("doc_id", "lang", F.size("blocks").cast("long").alias("n_notes"), F.array_min(F.transform("blocks", lambda b: b["quality"])).alias("quality"))
+
+
+@query("select doc_id, n_chars from documents where doc_id in (select doc_id from labels where toxic = 1)")
+def noted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "n_chars").withColumnRenamed("doc_id", "block_id")
+    notes = _read(spark, sf_dir, "labels", "doc_id", "toxic").filter("toxic = 1").withColumnRenamed("doc_id", "block_id")
+    return store.noted(docs, notes).withColumnRenamed("block_id", "doc_id")
+
+
+@query("""with i as (select l_orderkey as page, l_linenumber - 1 as k, case when l_linenumber % 3 = 0 then null else 40 + l_suppkey % 200 end::double as h from lineitem),
+o as (select *, coalesce(h, 120.0) as high, coalesce(sum(coalesce(h, 120.0)) over (partition by page order by k rows between unbounded preceding and 1 preceding), 0.0) as top from i),
+d as (select page, k, top, high, row_number() over (partition by page order by k) - 1 as idx from o),
+v as (select page, max(case when top <= page % 400 then idx end) as first, count(*) as n, sum(high) as total, max(case when top < page % 400 + 300 then idx end) + 1 as reach from d group by page),
+c as (select *, greatest(0, first - 2) as s, least(n, greatest(reach, first + 1) + 2) as e from v)
+select c.page, any_value(first)::int as first, any_value(s)::int as start, any_value(e)::bigint as "end", max(case when d.idx = s then d.top end) as above, greatest(max(case when d.idx = e - 1 then total - d.top - d.high end), 0.0) as below
+from c join d on d.page = c.page group by c.page""")
+def virtual_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    li = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey")
+    h = F.when(F.col("l_linenumber") % 3 != 0, (40 + F.col("l_suppkey") % 200).cast("double"))
+    items = li.select(F.col("l_orderkey").alias("page"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("idx"), h.alias("h"))
+    views = items.select("page").distinct().withColumns({"scroll": F.col("page") % 400, "viewport": F.lit(300)})
+    return state.window(items, views, ["page"], "idx", "h", buffer=2)
+
+
+# crops and characters
+
+
+@query(f"""{BOXES}, w as (select l_orderkey, l_linenumber, ax0 as x, ay0 as y, least(ceil(ax1 - ax0), 120 - ax0) as w, least(ceil(ay1 - ay0), 100 - ay0) as h, ax0, ay0, ax1, ay1 from x),
+p as (select *, greatest(2, floor(greatest(w, h) * 0.08::double + 0.5)) as p from w where w >= 1 and h >= 1),
+q as (select *, greatest(0, x - p) as px, greatest(0, y - p) as py from p),
+r as (select *, least(w + p * 2, 120 - px) as pw, least(h + p * 2, 100 - py) as ph from q),
+s as (select *, greatest(1.0, least(3.0, sqrt(4000 / (pw * ph)))) as scale from r)
+select l_orderkey, l_linenumber, cast(px as bigint) as x, cast(py as bigint) as y, cast(pw as bigint) as w, cast(ph as bigint) as h, scale, cast(greatest(1, floor(pw * scale + 0.5)) as bigint) as target_w,
+ (7 + (ax0 / 2.0)) / 4 as word_x0, cast(greatest(1, ceil((ax1 - ax0) / 8.0)) as int) as steps from s""")
+def crop_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _boxes(spark, sf_dir).withColumn("c", crops.crop(F.col("a"), F.lit(120), F.lit(100), F.lit(3.0), F.lit(4000)))
+    word = crops.to_word(F.col("a"), F.lit(7), F.lit(0), F.lit(2.0), F.lit(4))
+    return at.filter("c is not null").select(
+        "l_orderkey", "l_linenumber", "c.x", "c.y", "c.w", "c.h", "c.scale", "c.target_w", word["x0"].alias("word_x0"), crops.steps(g.size(F.col("a"), "x"), F.lit(8)).alias("steps")
+    )
+
+
+@query("""with b as (select l_orderkey as word, l_linenumber as i, (l_linenumber * 10)::double as x0, (l_suppkey % 9)::double as y0, (l_suppkey % 9 + 4 + l_partkey % 17)::double as y1 from lineitem),
+f as (select word, max(y1 - y0) as full, count(*) as n from b group by word), m as (select b.word, median(y1) as base from b join f using (word) where y1 - y0 >= full * 0.6 group by b.word)
+select b.word, count(*) filter (n >= 2 and y1 - y0 <= full * 0.6 and y1 <= base - full * 0.25) as n_raised from b join f using (word) join m using (word) group by b.word""")
+def raised_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    y = F.col("l_suppkey") % 9
+    box = g.box(F.col("l_linenumber") * 10, y, F.col("l_linenumber") * 10 + 8, y + 4 + F.col("l_partkey") % 17)
+    words = li.groupBy(F.col("l_orderkey").alias("word")).agg(F.collect_list(box).alias("boxes"))
+    return words.select("word", F.size(crops.evidence_boxes(F.col("boxes"))).cast("long").alias("n_raised"))
+
+
+# recognised pages
+
+
+def _read_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the conversations' turns as a recogniser would give them: one page a conversation, one line a turn."""
+    talk = _read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    words = talk.select(F.lit(1).cast("long").alias("doc_id"), F.col("conv_id").alias("page"), "turn", F.posexplode(F.split("text", " ")).alias("w", "text"))
+    x, y = F.col("w") * 40.0, F.col("turn") * 20.0 + (F.col("w") % 3) * 0.5
+    font = F.when(F.col("turn") % 4 == 0, 18.0).otherwise(12.0)
+    return words.select(
+        "doc_id", "page", (F.col("turn").cast("long") * (1 << 32) + F.col("w")).alias("word"), "text", (60.0 + F.col("w") % 40).alias("confidence"), font.alias("font"),
+        x.alias("x0"), y.alias("y0"), (x + 36).alias("x1"), (y + 12).alias("y1"),
+    )
+
+
+@query(None)
+def recognised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognised.lines(_read_words(spark, sf_dir)).drop("doc_id")
+
+
+@query(None)
+def recognised_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognised.blocks(recognised.lines(_read_words(spark, sf_dir))).drop("doc_id")
+
+
+@query(None)
+def text_only_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.posexplode(recognised.text_chunks(F.col("text"))).alias("block_idx", "b")).select("doc_id", "block_idx", "b.*")
+
+
+@query("""with w as (select l_orderkey as page, l_linenumber % 3 as line, min(l_partkey % 500) as x0, max(l_partkey % 500 + 40) as x1 from lineitem group by all)
+select page, max(x1 - x0)::double as width from w group by page""")
+def widest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, _ = _pages(spark, sf_dir)
+    return recognised.widest(recognised.extent(words, ["page", "line"]), ["page"])
+
+
+@query("""with w as (select l_orderkey as page, l_linenumber % 3 as line, min(l_partkey % 500) as x0, max(l_partkey % 500 + 40) as x1, min(l_linenumber * 30 + l_suppkey % 9) as y0, max(l_linenumber * 30 + l_suppkey % 9 + 12) as y1 from lineitem group by all),
+r as (select l_orderkey as page, l_linenumber as idx, l_partkey % 500 - l_suppkey % 60 as x0, l_linenumber * 30 + l_suppkey % 9 - 10 as y0, l_partkey % 500 + 30 + l_suppkey % 200 as x1, l_linenumber * 30 + l_suppkey % 9 + 25 as y1 from lineitem),
+c as (select w.page, line, idx, greatest(0, least(w.x1, r.x1) - greatest(w.x0, r.x0))::double * greatest(0, least(w.y1, r.y1) - greatest(w.y0, r.y0)) / ((w.x1 - w.x0) * (w.y1 - w.y0)) as cover from w join r using (page))
+select page, line, arg_max(idx, (cover, -idx)) as region from c where cover > 0 group by page, line""")
+def line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, regions = _pages(spark, sf_dir)
+    made = recognised.extent(words, ["doc_id", "page", "line"])
+    return recognised.labelled(made, regions).filter("region is not null").select("page", "line", "region")
+
+
+@query("""with w as (select l_orderkey as page, l_linenumber as word, (l_partkey % 500)::double as x0, (l_partkey % 500 + 40)::double as x1, (l_linenumber * 3 + l_suppkey % 9)::double as y, l_partkey % 500 + 20.0::double as x from lineitem),
+s as (select a.page, median((b.y - a.y) / (b.x - a.x)) as slope from w a join w b on a.page = b.page and a.word < b.word and abs(b.x - a.x) >= 100 group by a.page),
+i as (select w.page, any_value(slope) as slope, median(y - slope * x) as intercept, count(*) as n, max(x1) - min(x0) as span from w join s using (page) group by w.page),
+f as (select w.page, any_value(slope) as slope, any_value(n) as n, any_value(span) as span, median(abs(y - slope * x - intercept)) as residual from w join i using (page) group by w.page)
+select page, slope from f where n >= 3 and abs(slope) * span >= 5 and residual <= 4.2""")
+def tilted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    x = (F.col("l_partkey") % 500).cast("double")
+    w = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("word"), x.alias("x0"), (x + 40).alias("x1"), (F.col("l_linenumber") * 3 + F.col("l_suppkey") % 9).cast("double").alias("y1"), F.lit(12.0).alias("font"))
+    return recognised.tilted(w, ["page"], F.lit(12.0)).select("page", "slope")
+
+
+# reports
+
+
+@query("""with m as (select user_id, count(*) as n, min(event_id) as page, count(*) filter (event_type = 'error') as crashes from events group by user_id)
+select user_id, n || '|' || case when page % 2 = 0 then '-' else page || '/' || (page + 7) end || '|' || crashes || '|' || (n % 6) as signature, case when n >= 3 then 10.0 * page / n * (n + 9 - n) end as remaining from m""")
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events", "user_id", "event_id", "event_type")
+    m = e.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("page"), F.count_if(F.col("event_type") == "error").alias("crashes"))
+    page = F.when(F.col("page") % 2 != 0, F.col("page"))
+    return m.select("user_id", state.signature(F.col("n"), page, F.col("page") + 7, F.col("crashes"), F.col("n") % 6).alias("signature"), state.remaining(F.col("n"), F.col("n") + 9, F.col("page") * 10.0).alias("remaining"))
+
+
+@query("""with c as (select page_id, ['none', 'feature_disabled', 'inference_failed', 'no_regions_detected'][page_id % 4 + 1] as code from pages)
+select page_id, code = 'none' as used, code, case when code = 'none' then page_id % 9 end as regions, case when code <> 'none' then 'x' end as detail,
+ case code when 'none' then 'nothing' when 'feature_disabled' then 'switch it on' when 'inference_failed' then 'try the next page' else 'look at the detail' end as action from c""")
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "pages", "page_id")
+    code = F.get(F.array(*[F.lit(c) for c in ("none", "feature_disabled", "inference_failed", "no_regions_detected")]), (F.col("page_id") % 4).cast("int"))
+    o = reports.outcome(code, F.col("page_id") % 9, F.lit(10), F.lit(20), F.lit("x"))
+    return p.select("page_id", o.alias("o")).select("page_id", "o.used", "o.code", "o.regions", "o.detail", "o.action")
+
+
+@query(None)
+def decision_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    label = layout.label_of(F.col("l_partkey") % 23)
+    made = layout.decisions(li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), label.alias("label"), (F.col("l_quantity") < 10).alias("geometry_dropped")))
+    return reports.decision_table(made, ["page"], "line", ["line", "label", "geometry_dropped", "layout_dropped", "agrees", "preferred"])
+
+
+@query(None)
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = recognised.reflowed(recognised.lines(_read_words(spark, sf_dir)))
+    return reports.assembled(made, ["doc_id"], "page", markdown=True, title="conversations")
+
+
+@query(f"""with l as (select doc_id, string_split(text, chr(10))[1] as line from documents)
+select doc_id, length(regexp_replace(line, '[^（(]', '', 'g')) as opens from l""")
+def bracket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.select("doc_id", piecewise.count_in(F.element_at(F.split("text", "\n"), 1), piecewise.OPENS).cast("long").alias("opens"))

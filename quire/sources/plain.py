@@ -11,18 +11,16 @@ from quire.functions import text as t
 #: From this share of replacement characters on another encoding is tried.
 LOSSY = 0.002
 DECODED = "struct<text:string,encoding:string,lossy:boolean>"
-FORMATS = {".md": "markdown", ".markdown": "markdown", ".txt": "plaintext", ".text": "plaintext", ".pdf": "pdf", ".epub": "epub"}
+FORMATS = {".md": "markdown", ".markdown": "markdown", ".txt": "plaintext", ".text": "plaintext", ".log": "plaintext", ".pdf": "pdf", ".epub": "epub"}
 
 
 def decode_bytes(data: bytes) -> tuple[str, str, bool]:
     """By byte order mark, else UTF-8, else GB18030 if that reads better."""
-    if data[:3] == b"\xef\xbb\xbf":
-        return data[3:].decode("utf-8", "replace"), "utf-8", False
-    if data[:2] == b"\xff\xfe":
-        return data[2:].decode("utf-16-le", "replace"), "utf-16le", False
-    if data[:2] == b"\xfe\xff":
-        return data[2:].decode("utf-16-be", "replace"), "utf-16be", False
     share = lambda s: s.count("�") / len(s.encode("utf-16-le")) * 2 if s else 0.0
+    for mark, codec, name in ((b"\xef\xbb\xbf", "utf-8", "utf-8"), (b"\xff\xfe", "utf-16-le", "utf-16le"), (b"\xfe\xff", "utf-16-be", "utf-16be")):
+        if data.startswith(mark):
+            s = data[len(mark) :].decode(codec, "replace")
+            return s, name, share(s) > LOSSY
     plain = data.decode("utf-8", "replace")
     if share(plain) < LOSSY:
         return plain, "utf-8", share(plain) > 0

@@ -80,3 +80,42 @@ def latest(stored: DataFrame, keys: list[str], order: str) -> DataFrame:
     cols = [c for c in stored.columns if c != "batch"]
     best = stored.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(order, "batch")).alias("row"))
     return best.select("row.*")
+
+
+def reloads(loads: DataFrame, session: str = "session") -> DataFrame:
+    """(session, reloads): how often each has been loaded, once at least."""
+    return loads.groupBy(session).agg(F.greatest(F.count("*"), F.lit(1)).alias("reloads"))
+
+
+def remaining(done: Column, total: Column, elapsed: Column) -> Column:
+    """Time that is left at the pace so far, in the unit of `elapsed`; null until three are done."""
+    return F.when(done >= 3, elapsed / done * (total - done))
+
+
+def signature(reloads_: Column, page: Column, total: Column, crashes_: Column, stages: Column) -> Column:
+    """What a notice was about, so that it is not shown twice."""
+    stopped = F.coalesce(F.concat_ws("/", page.cast("string"), F.when(page.isNotNull(), total).cast("string")), F.lit("-"))
+    return F.concat_ws("|", reloads_.cast("string"), F.when(page.isNull(), "-").otherwise(stopped), crashes_.cast("string"), stages.cast("string"))
+
+
+def offsets(items: DataFrame, by: list[str], order: str, height: str, estimate: float = 120.0) -> DataFrame:
+    """items with `top` and `high`: a running sum of heights, those not measured as the estimate."""
+    high = F.coalesce(F.col(height).cast("double"), F.lit(estimate))
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return items.withColumn("high", high).withColumn("top", F.coalesce(F.sum("high").over(w), F.lit(0.0)))
+
+
+def window(items: DataFrame, views: DataFrame, by: list[str], order: str, height: str, buffer: int = 6, estimate: float = 120.0) -> DataFrame:
+    """views (by…, scroll, viewport): (by…, first, start, end, above, below): the first item in view, the range to draw with
+    `buffer` more at each end, and the heights that stand for the rest.  order: 0, 1, 2, ..."""
+    placed = offsets(items, by, order, height, estimate)
+    met = placed.join(views, by)
+    top, bottom = F.col("top"), F.col("scroll") + F.col("viewport")
+    seen = met.groupBy(*by).agg(
+        F.coalesce(F.max(F.when(top <= F.col("scroll"), F.col(order))), F.lit(0)).alias("first"), F.count("*").alias("n"), F.sum("high").alias("total"),
+        F.coalesce(F.max(F.when(top < bottom, F.col(order))) + 1, F.lit(0)).alias("reach"),
+    )
+    end = F.greatest("reach", F.col("first") + 1)
+    cut = seen.withColumn("start", F.greatest(F.lit(0), F.col("first") - buffer)).withColumn("end", F.least("n", end + buffer))
+    edge = placed.join(cut, by).groupBy(*by).agg(F.max(F.when(F.col(order) == F.col("start"), top)).alias("above"), F.max(F.when(F.col(order) == F.col("end") - 1, F.col("total") - top - F.col("high"))).alias("below"))
+    return cut.join(edge, by).select(*by, "first", "start", "end", "above", F.greatest("below", F.lit(0.0)).alias("below"))
