@@ -327,7 +327,7 @@ def _counts_of(code: Code, key: np.ndarray, n: np.ndarray, line: np.ndarray, siz
 
 def _regions(bits: int) -> int:
     """Parts of a table that one task each makes: of 2**18 slots, if there are so many."""
-    return max(1, 1 << (bits - 18))
+    return 1 << max(0, bits - 18)
 
 
 def _tables(by: dict[int, DataFrame], code: Code, bits: tuple[int, ...]) -> dict[int, np.ndarray]:
