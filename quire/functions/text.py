@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Character classes and word lists of the document model.
 WS = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 CJK = "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff"
 SENTENCE_ENDS = "。！？!?.;；"
 CHAPTER = r"(?i)^(第[一二三四五六七八九十百千\d]+[章节回卷篇部]|chapter\s+\d+|序章|后记|尾声)"
@@ -27,7 +28,7 @@ def len16(s: Column) -> Column:
 
 
 def trim(s: Column) -> Column:
-    return F.regexp_replace(s, f"^[{WS}]+|[{WS}]+\\z", "")
+    return F.trim(s, F.lit(WS_CHARS))
 
 
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:

@@ -448,7 +448,7 @@ def noted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.noted(docs, notes).withColumnRenamed("block_id", "doc_id")
 
 
-@query("""with i as (select l_orderkey as page, l_linenumber - 1 as k, case when l_linenumber % 3 = 0 then null else 40 + l_suppkey % 200 end::double as h from lineitem),
+@query("""with i as (select l_orderkey as page, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey) as k, case when l_linenumber % 3 = 0 then null else 40 + l_suppkey % 200 end::double as h from lineitem),
 o as (select *, coalesce(h, 120.0) as high, coalesce(sum(coalesce(h, 120.0)) over (partition by page order by k rows between unbounded preceding and 1 preceding), 0.0) as top from i),
 d as (select page, k, top, high, row_number() over (partition by page order by k) - 1 as idx from o),
 v as (select page, max(case when top <= page % 400 then idx end) as first, count(*) as n, sum(high) as total, max(case when top < page % 400 + 300 then idx end) + 1 as reach from d group by page),
@@ -458,9 +458,9 @@ from c join d on d.page = c.page group by c.page""")
 def virtual_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    li = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey")
+    li = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     h = F.when(F.col("l_linenumber") % 3 != 0, (40 + F.col("l_suppkey") % 200).cast("double"))
-    items = li.select(F.col("l_orderkey").alias("page"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("idx"), h.alias("h"))
+    items = li.select(F.col("l_orderkey").alias("page"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")) - 1).alias("idx"), h.alias("h"))
     views = items.select("page").distinct().withColumns({"scroll": F.col("page") % 400, "viewport": F.lit(300)})
     return state.window(items, views, ["page"], "idx", "h", buffer=2)
 
@@ -484,8 +484,8 @@ def crop_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with b as (select l_orderkey as word, l_linenumber as i, (l_linenumber * 10)::double as x0, (l_suppkey % 9)::double as y0, (l_suppkey % 9 + 4 + l_partkey % 17)::double as y1 from lineitem),
-f as (select word, max(y1 - y0) as full, count(*) as n from b group by word), m as (select b.word, median(y1) as base from b join f using (word) where y1 - y0 >= full * 0.6 group by b.word)
-select b.word, count(*) filter (n >= 2 and y1 - y0 <= full * 0.6 and y1 <= base - full * 0.25) as n_raised from b join f using (word) join m using (word) group by b.word""")
+f as (select word, max(y1 - y0) as tall, count(*) as n from b group by word), m as (select b.word, median(y1) as base from b join f using (word) where y1 - y0 >= tall * 0.6 group by b.word)
+select b.word, count(*) filter (n >= 2 and y1 - y0 <= tall * 0.6 and y1 <= base - tall * 0.25) as n_raised from b join f using (word) join m using (word) group by b.word""")
 def raised_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     y = F.col("l_suppkey") % 9
