@@ -2,9 +2,10 @@
 
 Features are hashed byte trigrams of the whole text (A-Z as a-z), as shares of all trigrams.  Families are told apart by
 one-versus-rest linear SVMs, the languages of a family by one SVM a pair, with votes, ties going to the larger sum of
-margins and then to the name that sorts first.  The SVMs are fitted by dual coordinate descent on a bounded sample:
-`per_language` texts of each language (the expected number; rows are taken by a hash of the id) of at most `longest` bytes.
-Weights are whole numbers in fixed point, so a score does not depend on how rows are batched.
+margins and then to the name that sorts first.  The SVMs are fitted by dual coordinate descent on a bounded sample of whole
+texts: `per_language` of each language (the expected number; rows are taken by a hash of id and text), or fewer where these
+would have more than `most` features, and one at least.  The driver is sent the features only, of which a text has no more
+than 2**16 however long it is.  Weights are whole numbers in fixed point, so a score does not depend on how rows are batched.
 
 Defined results: a null text or one without a letter is `und` with score 0, and so is every text if there is nothing to
 learn from.  Rows with null lang are not learned from.  Repeated rows each get a row.  Empty tables give empty results.
@@ -12,6 +13,7 @@ learn from.  Rows with null lang are not learned from.  Repeated rows each get a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -60,6 +62,13 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ((low | (one << np.uint32(8)) | (two << np.uint32(16))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a text, each once, and their shares of all."""
+    data, offsets = raw(pa.array([text], pa.large_string()))
+    at, count = np.unique(trigrams(data, offsets), return_counts=True)
+    return at.astype(np.int64), count * (SCALE / max(1, count.sum()))
+
+
 def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 10.0, rounds: int = 12) -> np.ndarray:
     """Weights, the bias last, of a linear SVM with squared hinge loss, by dual coordinate descent."""
     w = np.zeros((1 << BITS) + 1)
@@ -92,13 +101,10 @@ class LanguageModel:
     column: dict[tuple, int] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str]) -> LanguageModel:
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> LanguageModel:
+        """rows: the features of each text and their weights."""
         m, columns = cls(), []
-        rows, found = [], np.array(langs)
-        for t in texts:
-            data, offsets = raw(pa.array([t]))
-            at, count = np.unique(trigrams(data, offsets), return_counts=True)
-            rows.append((at.astype(np.int64), count * (SCALE / max(1, count.sum()))))
+        found = np.array(langs)
         for lang in sorted(set(langs)):
             m.families.setdefault(family(lang), []).append(lang)
         m.families = dict(sorted(m.families.items()))
@@ -170,21 +176,32 @@ class LanguageModel:
         return names.tolist(), score
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500, longest: int = 16_000) -> LanguageModel:
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500, most: int = 12 << 20) -> LanguageModel:
     """From rows whose id is not held out (crc32 of it modulo 4 is not 2) and whose lang is not null."""
     known = docs.select(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    known = known.filter(~held_out(F.col("i"), 4) & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}") & (F.octet_length("t") <= longest))
-    counts = known.groupBy("l").count().orderBy("l").limit(MOST_LANGUAGES + 1).collect()
+    known = known.filter(~held_out(F.col("i"), 4) & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    whole = 1 << 30
+    known = known.withColumn("o", F.pmod(F.xxhash64(F.lit("sample"), "i", "t"), F.lit(whole)))
+    size = F.sum(F.least(F.octet_length("t"), F.lit(1 << BITS)))
+    counts = known.groupBy("l").agg(F.count("*").alias("n"), size.alias("size"), F.min("o").alias("first")).orderBy("l").limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return LanguageModel()
-    whole = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(whole, whole * per_language // r["count"]))])
-    order = F.xxhash64(F.lit("sample"), "i", "t")
-    sample = known.withColumn("o", order).filter(F.pmod("o", F.lit(whole)) < share[F.col("l")]).collect()
-    sample.sort(key=lambda r: (r.o, r.i or "", r.l, r.t))
-    return LanguageModel.fit([r.t for r in sample], [r.l for r in sample])
+    share = {r["l"]: max(r["first"], min(whole, whole * per_language // r["n"], whole * most // max(1, r["size"])) - 1) for r in counts}
+    last = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, weight = features(batch.column(1)[i].as_py())
+                one = [pa.array([x]) for x in (at.astype(np.int32), weight)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, 1) for c in (0, 2, 3)], *one], names=["l", "o", "i", "at", "weight"])
+
+    sample = known.filter(F.col("o") <= last[F.col("l")]).select("l", "t", "o", "i")
+    got = sample.mapInArrow(described, "l string, o long, i string, at array<int>, weight array<double>").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["o"], r["i"] or "", r["l"], len(r["at"])))
+    return LanguageModel.fit([(np.array(r["at"], np.int64), np.array(r["weight"])) for r in got], [r["l"] for r in got])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> tuple[DataFrame, str, str]:

@@ -222,6 +222,16 @@ def test_language(spark):
     assert language.identify(src.limit(0), model)[0].count() == 0
 
 
+def test_languages_of_long_texts(spark):
+    """A language with long texts only is learned, from whole texts, within the bound on features."""
+    stock = {"en": WORDS, "xx": "zqx qzx xqz zzx qqz".split()}
+    rows = [(i, prose(6000 if lang == "xx" else 30, stock[lang]), lang) for i, lang in enumerate(sorted(stock) * 12)]
+    src = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (12 << 20, 1):
+        out, name, _ = language.identify(src, language.learn(src, most=most))
+        assert all(r[name] == r.lang for r in out.collect())
+
+
 def test_language_trigrams_keep_to_their_row():
     import pyarrow as pa
 
