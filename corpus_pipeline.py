@@ -12,8 +12,12 @@ from quire.llm.queries import PIECES
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (`und`: no letter, or no text) go."""
-    out, lang, _ = language.identify(docs, language.learn(docs))
+    """Documents without a language (`und`: no letter, or no text) go.  If there is nothing to learn languages from, only those
+    without a letter go."""
+    model = language.learn(docs)
+    if not model.families:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    out, lang, _ = language.identify(docs, model)
     return out.filter(~language.unknown(lang)).select(docs.columns)
 
 
