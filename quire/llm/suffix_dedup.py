@@ -265,7 +265,8 @@ def _flags(src: DataFrame, context: DataFrame, least: int, seed: int, crowd: int
     def met(some: DataFrame, dealt: bool, out: str) -> DataFrame:
         own = F.struct("f.m", "a", "nw", "h", "n", "key")
         chosen = some.groupBy(F.col("f.th").alias("_t"), F.col("f.id").alias("_i")).agg(F.collect_list(own).alias("own"))
-        both = src.join(chosen, (src["th"] == F.col("_t")) & src["id"].eqNullSafe(F.col("_i"))).select("th", "id", "t", "own")
+        # the same way at every size: neither side is bounded
+        both = src.join(chosen.hint("merge"), (src["th"] == F.col("_t")) & src["id"].eqNullSafe(F.col("_i"))).select("th", "id", "t", "own")
         return both.mapInArrow(_read_again(least, seed, dealt), out)
 
     few = met(context.filter((F.col("contexts") > 1) & (F.col("contexts") <= crowd)), False, f"key long, h long, th long, id {kind}, m int, lo int, a int, n long, left array<long>, right array<long>").distinct()
