@@ -67,11 +67,17 @@ def anchors(hashes: np.ndarray, row: np.ndarray, least: int, seed: int) -> tuple
 
 def _retained(least: int, seed: int):
     """Rows (key, h, th, p): retained suffixes of each text.  h: the hash of the words of all stretches that chose it, the
-    first beginning a words before its place m, and of a and their number nw; p: m, a and nw packed."""
+    first beginning a words before its place m, and of a and their number nw; p: m, a and nw packed.  A task puts out equal
+    texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            _, some = np.unique(batch.column(0).to_numpy(), return_index=True)
+            new = [i for i in np.sort(some).tolist() if batch.column(0)[i].as_py() not in seen]
+            batch = batch.take(pa.array(new, pa.int64()))
             th = batch.column(0).to_numpy()
+            seen.update(th.tolist())
             data, offsets = raw(strings(batch, "t"))
             for lo, hi in pieces(offsets, BATCH_BYTES):
                 w = words(data, offsets[lo : hi + 1], NOT_SPACE)
@@ -91,7 +97,8 @@ def _retained(least: int, seed: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes, those that agree with the one before or after; the first and last of a task count as agreeing."""
+    """Of sorted suffixes, those that agree with the one before or after, equal rows once; the first and last of a task count as
+    agreeing."""
     held: pa.Table | None = None
     before: int | None = None
     first = True
@@ -100,6 +107,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         t = pa.Table.from_batches([batch])
         t = pa.concat_tables([held, t]) if held is not None else t
+        cols = [t.column(c).to_numpy() for c in ("key", "h", "th", "p")]
+        other = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+        if not other.all():
+            t = t.filter(pa.array(other))
         key = t.column("key").to_numpy()
         same = np.zeros(len(key), bool)
         same[1:] |= key[1:] == key[:-1]
@@ -293,9 +304,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
         raise ValueError(f"least must be under {1 << PACK}")
     src = docs.select(F.xxhash64(text).alias("th"), F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     schema = "key long, h long, th long, p long"
-    once = written(src.select("th", "t").mapInArrow(_retained(least, seed), schema).distinct(), "suffixes")
+    all_ = written(src.select("th", "t").mapInArrow(_retained(least, seed), schema), "suffixes")
     order = ["key", "h", "th", "p"]
-    ordered = once.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ordered = all_.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     alike = ordered.mapInArrow(_neighbours, schema)
     bits = lambda n: F.col("p").bitwiseAND(F.lit((1 << PACK) - 1)) if not n else F.shiftright("p", n * PACK).bitwiseAND(F.lit((1 << PACK) - 1))
     copies = written(src.groupBy("th").agg(F.count("*").alias("copies"), F.min("id").alias("id")), "texts")
