@@ -32,8 +32,8 @@ DEGREE = 28
 TREES = 4
 CHUNK = 512
 #: Rounds end when this part of all neighbours, or less, is new.
-SETTLED = 0.002
-BEAM = 320
+SETTLED = 0.01
+BEAM = 160
 EXPAND = 80
 QUERY_BLOCK = 2048
 
@@ -207,11 +207,25 @@ def start(points: DataFrame, trees: int, chunk: int, degree: int, seed: int = 11
     return nearest_rows(dealt.mapInArrow(near, EDGE), degree).filter("u <> v")
 
 
-def around(graph: DataFrame, degree: int) -> DataFrame:
-    """(w, m, new): each node with its neighbours, and with the nearest of the nodes that have it as a neighbour."""
+def around(graph: DataFrame, degree: int, live: bool = False) -> DataFrame:
+    """(w, m, new): each node with its neighbours, and with the nearest of the nodes that have it as a neighbour; in order of
+    w and m, and in one task for each w.  live: only of nodes with something new around them."""
     back = nearest_rows(graph, degree, "v")
     both = graph.select(F.col("u").alias("w"), F.col("v").alias("m"), "new").union(back.select(F.col("v").alias("w"), F.col("u").alias("m"), "new"))
-    return both.groupBy("w", "m").agg(F.max("new").alias("new"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), schema=pa.schema([("w", pa.int64()), ("m", pa.int64()), ("new", pa.bool_())]))
+        w, m, new = (t.column(c).to_numpy(zero_copy_only=False) for c in ("w", "m", "new"))
+        order = np.lexsort((~new, m, w))
+        w, m, new = w[order], m[order], new[order]
+        keep = np.ones(len(w), bool)
+        keep[1:] = (w[1:] != w[:-1]) | (m[1:] != m[:-1])
+        if live and len(w):
+            begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            keep &= np.repeat(np.maximum.reduceat(new, begin), np.diff(np.append(begin, len(w))))
+        yield from pa.table([w[keep], m[keep], new[keep]], names=["w", "m", "new"]).to_batches(1 << 16)
+
+    return both.repartition(partitions(graph.sparkSession), "w").mapInArrow(once, "w long, m long, new boolean")
 
 
 def descend(graph: DataFrame, points: DataFrame, degree: int) -> DataFrame:
@@ -219,9 +233,8 @@ def descend(graph: DataFrame, points: DataFrame, degree: int) -> DataFrame:
     n = partitions(points.sparkSession)
     worst = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(float("inf")).alias("worst"))
     at = points.join(worst, points["node"] == worst["u"], "left").select("node", "s", "z", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-    members = written(around(graph, degree), "members")
-    live = members.filter("new").select(F.col("w").alias("_w")).distinct()  # the rest has nothing to compare
-    met = members.join(live, members["w"] == live["_w"], "left_semi").join(at, members["m"] == at["node"]).select("w", "m", "new", "worst", "s", "z")
+    members = around(graph, degree, live=True)
+    met = members.join(at, members["m"] == at["node"]).select("w", "m", "new", "worst", "s", "z")
 
     def joined(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
         x, ids, worst, new = _vectors(t), *(t.column(c).to_numpy(zero_copy_only=False) for c in ("m", "worst", "new"))
