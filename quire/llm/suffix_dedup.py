@@ -125,42 +125,44 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from held.to_batches()
 
 
-def _read_again(least: int, seed: int, dealt: bool):
-    """For texts with their contexts (own: m, a, nw, h, n, key).  Rows (key, h, th, id, m, lo, a, n, left, right): the words
-    before the suffix, backward, and those after its seed.  dealt: rows (h, th, id, j, n, o, wh) instead, one a stretch, o
-    being how far before the suffix it begins and wh the hash of its words."""
+def _read_again(least: int, seed: int):
+    """For texts with their contexts (own: m, a, nw, h, n, key, hot).  Rows (hot, key, h, th, id, m, lo, a, n, left, right, o, wh).
+    Of a context that is not hot one row: left and right are the words before the suffix, backward, and those after its seed.
+    Of a hot one a row a stretch: it begins at m, o before the suffix, and wh is the hash of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             th, ids, lists = batch.column(0).to_numpy(), batch.column(1), batch.column(3)
             at, flat = lists.offsets.to_numpy(), lists.values
-            m, a, nw, h, n, key = (flat.field(c).to_numpy() for c in ("m", "a", "nw", "h", "n", "key"))
+            m, a, nw, h, n, key, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("m", "a", "nw", "h", "n", "key", "hot"))
             data, offsets = raw(strings(batch, "t"))
             for lo, hi in pieces(offsets, BATCH_BYTES):
                 w = words(data, offsets[lo : hi + 1], NOT_SPACE)
-                own, row = expand(at[lo:hi], np.diff(at[lo : hi + 1]))
-                if not len(own):
-                    continue
-                if dealt:
-                    begin, which = expand(m[own] - a[own], nw[own])
-                    own, row = own[which], row[which]
-                    start = begin + w.row[row]
-                    wh = hash_ranges(w.hashes, start, start + least)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[own]), pa.array(th[lo + row]), ids.take(pa.array(lo + row)), pa.array(begin.astype(np.int32)), pa.array(n[own]), pa.array((m[own] - begin).astype(np.int32)), pa.array(wh.view(np.int64))],
-                        names=["h", "th", "id", "j", "n", "o", "wh"],
+                both, rows = expand(at[lo:hi], np.diff(at[lo : hi + 1]))
+                none = np.zeros(0, np.int64)
+
+                def made(own: np.ndarray, row: np.ndarray, begin: np.ndarray, o: np.ndarray, wh: np.ndarray, left: pa.Array, right: pa.Array, lo: int = lo) -> pa.RecordBatch:
+                    ints = lambda x: pa.array(x.astype(np.int32))
+                    return pa.RecordBatch.from_arrays(
+                        [pa.array(hot[own].astype(bool)), pa.array(key[own]), pa.array(h[own]), pa.array(th[lo + row]), ids.take(pa.array(lo + row)), ints(begin), ints(a[own] - nw[own] + 1), ints(a[own]), pa.array(n[own]), left, right, ints(o), pa.array(wh.view(np.int64))],
+                        names=["hot", "key", "h", "th", "id", "m", "lo", "a", "n", "left", "right", "o", "wh"],
                     )
-                    continue
-                place, first = m[own] + w.row[row], a[own] - nw[own] + 1
-                before, i = expand(np.zeros(len(own), np.int64), a[own])
-                left = list_array(pa.array(w.hashes[place[i] - 1 - before].view(np.int64)), a[own])
-                after, i = expand(np.zeros(len(own), np.int64), least - seed - first)
-                right = list_array(pa.array(w.hashes[place[i] + seed + after].view(np.int64)), least - seed - first)
-                ints = lambda x: pa.array(x.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[own]), pa.array(h[own]), pa.array(th[lo + row]), ids.take(pa.array(lo + row)), ints(m[own]), ints(first), ints(a[own]), pa.array(n[own]), left, right],
-                    names=["key", "h", "th", "id", "m", "lo", "a", "n", "left", "right"],
-                )
+
+                few, many = ~hot[both].astype(bool), hot[both].astype(bool)
+                if few.any():
+                    own, row = both[few], rows[few]
+                    place, first = m[own] + w.row[row], a[own] - nw[own] + 1
+                    before, i = expand(np.zeros(len(own), np.int64), a[own])
+                    left = list_array(pa.array(w.hashes[place[i] - 1 - before].view(np.int64)), a[own])
+                    after, i = expand(np.zeros(len(own), np.int64), least - seed - first)
+                    right = list_array(pa.array(w.hashes[place[i] + seed + after].view(np.int64)), least - seed - first)
+                    yield made(own, row, m[own], np.zeros(len(own)), np.zeros(len(own), np.uint64), left, right)
+                if many.any():
+                    begin, which = expand(m[both[many]] - a[both[many]], nw[both[many]])
+                    own, row = both[many][which], rows[many][which]
+                    start = begin + w.row[row]
+                    empty = list_array(pa.array(none), np.zeros(len(own), np.int64))
+                    yield made(own, row, begin, m[own] - begin, hash_ranges(w.hashes, start, start + least), empty, empty)
 
     return run
 
@@ -225,7 +227,8 @@ def _found(least: int, seed: int):
     width = least - seed
 
     def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
+        # a context whose document comes twice is one row
+        t = t.take(pa.array(np.sort(np.unique(t.column("h").to_numpy(), return_index=True)[1]))).combine_chunks()
         col = lambda c: t.column(c).chunk(0)
         order = pc.sort_indices(t, sort_keys=[("id", "ascending"), ("th", "ascending"), ("m", "ascending")], null_placement="at_start").to_numpy()
         rank = np.empty(len(order), np.int64)
@@ -273,24 +276,19 @@ def _flags(src: DataFrame, context: DataFrame, least: int, seed: int, crowd: int
     whole = F.transform(F.sequence(F.col("a") - F.col("nw") + 1, F.col("a")), lambda o: F.struct(o.alias("o"), F.lit(True).alias("own")))
     alone = alone.select("h", "f.th", "f.id", "f.m", whole.alias("flags"))
 
-    def met(some: DataFrame, dealt: bool, out: str) -> DataFrame:
-        own = F.struct("f.m", "a", "nw", "h", "n", "key")
-        chosen = some.groupBy(F.col("f.th").alias("_t"), F.col("f.id").alias("_i")).agg(F.collect_list(own).alias("own"))
-        # the same way at every size: neither side is bounded
-        both = src.join(chosen.hint("merge"), (src["th"] == F.col("_t")) & src["id"].eqNullSafe(F.col("_i"))).select("th", "id", "t", "own")
-        return both.mapInArrow(_read_again(least, seed, dealt), out)
-
-    few = met(context.filter((F.col("contexts") > 1) & (F.col("contexts") <= crowd)), False, f"key long, h long, th long, id {kind}, m int, lo int, a int, n long, left array<long>, right array<long>").distinct()
-    few = few.repartition(partitions(src.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_found(least, seed), schema)
-    hot = context.filter(F.col("contexts") > crowd)
-    out = alone.union(few)
-    if hot.limit(1).count():
-        stretches = written(met(hot, True, f"h long, th long, id {kind}, j int, n long, o int, wh long").distinct(), "stretches")
-        place = F.struct("id", "th", "j")
-        twice = written(stretches.groupBy("wh").agg(F.sum("n").alias("times"), F.min(place).alias("first")).filter("times > 1").drop("times"), "twice")
-        each = stretches.join(twice, "wh")
-        each = each.groupBy("h", "th", "id", (F.col("j") + F.col("o")).alias("m")).agg(F.collect_list(F.struct("o", (place == F.col("first")).alias("own"))).alias("flags"))
-        out = out.union(each.select("h", "th", "id", "m", "flags"))
+    own = F.struct("f.m", "a", "nw", "h", "n", "key", (F.col("contexts") > crowd).alias("hot"))
+    chosen = context.filter("contexts > 1").groupBy(F.col("f.th").alias("_t"), F.col("f.id").alias("_i")).agg(F.collect_list(own).alias("own"))
+    # the same way at every size: neither side is bounded
+    both = src.join(chosen.hint("merge"), (src["th"] == F.col("_t")) & src["id"].eqNullSafe(F.col("_i"))).select("th", "id", "t", "own")
+    kinds = f"hot boolean, key long, h long, th long, id {kind}, m int, lo int, a int, n long, left array<long>, right array<long>, o int, wh long"
+    met = written(both.mapInArrow(_read_again(least, seed), kinds), "contexts_read")
+    few = met.filter("not hot").drop("hot", "o", "wh").repartition(partitions(src.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_found(least, seed), schema)
+    stretches = met.filter("hot").select("h", "th", "id", F.col("m").alias("j"), "n", "o", "wh").distinct()
+    place = F.struct("id", "th", "j")
+    twice = written(stretches.groupBy("wh").agg(F.sum("n").alias("times"), F.min(place).alias("first")).filter("times > 1").drop("times"), "twice")
+    each = stretches.join(twice, "wh")
+    each = each.groupBy("h", "th", "id", (F.col("j") + F.col("o")).alias("m")).agg(F.collect_list(F.struct("o", (place == F.col("first")).alias("own"))).alias("flags"))
+    out = alone.union(few).union(each.select("h", "th", "id", "m", "flags"))
     return written(out, "flags")
 
 
