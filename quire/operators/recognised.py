@@ -21,7 +21,7 @@ from quire.operators.layout import PAGE
 # How near words of a line are, and what parts paragraphs.
 SAME_LINE, GAP, GAP_FONT, FONT_STEP, ENDED, HEADING_FONT, HEADING_LONGEST = 5.0, 1.2, 1.8, 0.25, 0.95, 1.3, 80
 # What a fitted base line must be; what a fragment covers; how a short chunk is told.
-FULL_SIZE, LEAST_WORDS, RESIDUAL, FRAGMENT, SHORT, LONGEST = 0.9, 3, 0.35, 0.6, 20, 400
+FULL_SIZE, LEAST_WORDS, RESIDUAL, FRAGMENT, SHORT, LONGEST = 0.9, 3, 35, 0.6, 20, 400
 # List marks and sentence ends, as patterns.
 NUMBERED = r"^\s*(?:\d{1,3}\s*(?:[、)）]|\.(?!\d))|[（(]\s*\d{1,3}\s*[)）])\s*\S"
 ENDS, ENDS_OR_COLON = "[。！？!?.;；]$", r"[。！？!?.;；:：]\s*$"
@@ -200,6 +200,11 @@ def text_chunks(s: Column) -> Column:
     return F.transform(t.let(chosen, merged), lambda x: F.struct(F.when(t.looks_like_heading(x), "heading").otherwise("paragraph").alias("type"), x.alias("content")))
 
 
+def off_limit(main: Column) -> Column:
+    """RESIDUAL hundredths of a size, rounded once: 12 * 0.35 falls short of 4.2, and a residual of 4.2 would be over it."""
+    return main * RESIDUAL / 100
+
+
 def tilted(words: DataFrame, by: list[str], main: Column) -> DataFrame:
     """(by…, slope, intercept): the base line of each group of words that is surely tilted: three words of full size or more
     (of any size, if fewer are), a drift beyond a line's tolerance over their span, and small residuals.
@@ -210,14 +215,14 @@ def tilted(words: DataFrame, by: list[str], main: Column) -> DataFrame:
     sample = full.join(enough, by).filter((F.col("_n") < LEAST_WORDS) | F.col("_full"))
     size = sample.groupBy(*by).agg(F.count("*").alias("n"), (F.max("x1") - F.min("x0")).alias("span"), F.first("_main").alias("main"))
     fit = pages.baseline(sample, by).join(size, by)
-    sure = (F.col("main") > 0) & (F.col("n") >= LEAST_WORDS) & (F.abs("slope") * F.col("span") >= SAME_LINE) & (F.col("residual") <= F.col("main") * RESIDUAL)
+    sure = (F.col("main") > 0) & (F.col("n") >= LEAST_WORDS) & (F.abs("slope") * F.col("span") >= SAME_LINE) & (F.col("residual") <= off_limit(F.col("main")))
     return fit.filter(sure).select(*by, "slope", "intercept", "main")
 
 
 def off_line(words: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame:
     """(by…, off): whether a word of full size stands too far from its base line."""
     mid = lambda a, b: (F.col(a) + F.col(b)) / 2
-    far = F.abs(mid("y0", "y1") - F.col("slope") * mid("x0", "x1") - F.col("intercept")) > F.col("main") * RESIDUAL
+    far = F.abs(mid("y0", "y1") - F.col("slope") * mid("x0", "x1") - F.col("intercept")) > off_limit(F.col("main"))
     return words.join(fits, by).groupBy(*by).agg(F.bool_or((F.col("font") > F.col("main") * FULL_SIZE) & far).alias("off"))
 
 
