@@ -6,8 +6,8 @@ neighbours and with the nearest of the nodes it neighbours, and compares these w
 Only pairs of which one has come since the last round are compared, whatever is nearer than a node's worst neighbour is
 proposed, and each node keeps the nearest it has seen; rounds go on until hardly any neighbour is new.  A node that many
 name is reduced to its nearest namers in every task before anything is sent.  A search holds a beam for each query; each hop
-joins the nearest unexpanded nodes with the graph, then their neighbours with the vectors, and keeps the nearest, until
-nothing in the beam is unexpanded.
+joins its unexpanded nodes with the graph, then their neighbours with the vectors, and keeps the nearest, until nothing in the
+beam is unexpanded.
 
 Graph and beam compare vectors in half precision, each scaled by its own largest component, in double arithmetic; so vectors of
 any size can stand in one table.  What a search finds is ranked by distances in double precision on the vectors as given.
@@ -27,14 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import bounded_batches, partitions, written
+from quire.llm.words import U, mix
 
 DEGREE = 28
 TREES = 4
-CHUNK = 512
+CHUNK = 1024
+#: Blocks of a tree's order, at most.
+BLOCKS = 2048
 #: Rounds end when this part of all neighbours, or less, is new.
 SETTLED = 0.01
 BEAM = 160
-EXPAND = 80
 QUERY_BLOCK = 2048
 
 
@@ -163,64 +165,91 @@ def _reduced(degree: int, by: str):
     return run
 
 
-def nearest_rows(edges: DataFrame, degree: int, by: str = "u") -> DataFrame:
-    """The `degree` nearest rows of each node, reduced in the tasks before they are dealt by node."""
-    n = partitions(edges.sparkSession)
-    return edges.mapInArrow(_reduced(degree, by), EDGE).repartition(n, by).mapInArrow(_reduced(degree, by), EDGE)
+def _nearest_of(fn, degree: int):
+    """For mapInArrow: the rows that fn makes, reduced in the same pass."""
+    reduced = _reduced(degree, "u")
+    return lambda batches: reduced(fn(batches))
 
 
-def start(points: DataFrame, trees: int, chunk: int, degree: int, seed: int = 11) -> DataFrame:
-    """Edges from neighbours in the order of random projections' signs."""
+def nearest_rows(edges: DataFrame, degree: int) -> DataFrame:
+    """The `degree` nearest rows of each node; edges: reduced in their tasks already."""
+    return edges.repartition(partitions(edges.sparkSession), "u").mapInArrow(_reduced(degree, "u"), EDGE)
+
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def start(points: DataFrame, trees: int, chunk: int, degree: int, seed: int = 11) -> DataFrame:
+    """Edges from neighbours in the order of random projections' signs.  Blocks are cut at quantiles of that order and have a
+    chunk's size while BLOCKS suffice, larger ones are parted in their task: chunks do not follow the number of tasks."""
+    n = partitions(points.sparkSession)
+    blocks = min(BLOCKS, max(1, points.count() // chunk))
+
+    def places(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        """Of each tree the places in its order: 32 signs, then 31 bits of the node's hash."""
+        x = _vectors(pa.Table.from_batches([batch]))
+        x /= np.abs(x).max(axis=1, keepdims=True)  # only signs count
+        tail = (mix(batch.column(0).to_numpy().view(U)) >> U(33)).astype(np.int64)
+        for tree in range(trees):
+            planes = np.random.default_rng([seed, tree]).standard_normal((x.shape[1], 32))
+            bits = (x @ planes > 0).astype(np.int64)
+            yield tree, (bits @ (1 << np.arange(31, -1, -1, dtype=np.int64))) << 31 | tail
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _vectors(pa.Table.from_batches([batch]))
-            x /= np.abs(x).max(axis=1, keepdims=True)  # only signs count
-            for tree in range(trees):
-                planes = np.random.default_rng([seed, tree]).standard_normal((x.shape[1], 32))
-                bits = (x @ planes > 0).astype(np.int64)
-                code = bits @ (1 << np.arange(31, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code), *batch.columns], names=["tree", "code", "node", "s", "z"])
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+            if batch.num_rows:
+                for tree, at in places(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree, np.int32)), pa.array(at)], names=["tree", "at"])
 
-        def of(t: pa.Table) -> pa.RecordBatch:
-            x, ids = _vectors(t), t.column("node").to_numpy()
-            k = min(degree, len(ids) - 1)
-            best, d = nearest_of(x, k) if k else (np.zeros((1, 0), np.int64), np.zeros((1, 0)))
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(d.ravel()), pa.array(ids[best].ravel()), pa.array(np.ones(d.size, bool))], names=["u", "d", "v", "new"])
+    bounds = {}
+    if blocks > 1:
+        cuts = F.percentile_approx("at", [i / blocks for i in range(1, blocks)], 16 * blocks)
+        bounds = {r["tree"]: np.array(r["cuts"], np.int64) for r in points.mapInArrow(placed, "tree int, at long").groupBy("tree").agg(cuts.alias("cuts")).collect()}
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, t]) if held is not None else t
-            while held.num_rows >= 2 * chunk:  # the last chunk of a task is of up to two
-                yield of(held.slice(0, chunk).combine_chunks())
-                held = held.slice(chunk)
-        if held is not None and held.num_rows:
-            yield of(held.combine_chunks())
-
-    code = written(points.mapInArrow(coded, "tree int, code long, node long, s double, z binary"), "codes")
-    dealt = code.repartitionByRange(partitions(points.sparkSession), "tree", "code", "node").sortWithinPartitions("tree", "code", "node")
-    return nearest_rows(dealt.mapInArrow(near, EDGE), degree).filter("u <> v")
+            if batch.num_rows:
+                for tree, at in places(batch):
+                    block = tree * blocks + (np.searchsorted(bounds[tree], at) if bounds else np.zeros(len(at), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(at), *batch.columns], names=["block", "at", "node", "s", "z"])
+
+    def near(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+        x, ids = _vectors(t), t.column("node").to_numpy()
+        made = []
+        for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            parts = max(1, (hi - lo) // chunk)
+            for i in range(parts):
+                a, b = lo + (hi - lo) * i // parts, lo + (hi - lo) * (i + 1) // parts
+                k = min(degree, b - a - 1)
+                if k > 0:
+                    best, d = nearest_of(x[a:b], k)
+                    made.append((np.repeat(ids[a:b], k), d.ravel(), ids[a:b][best].ravel()))
+        u, d, v = (np.concatenate(m) for m in zip(*made, strict=True)) if made else (np.zeros(0, t) for t in (np.int64, np.float64, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(d), pa.array(v), pa.array(np.ones(len(u), bool))], names=["u", "d", "v", "new"])
+
+    rows = points.mapInArrow(dealt, "block long, at long, node long, s double, z binary").repartition(n, "block").sortWithinPartitions("block", "at", "node")
+    return nearest_rows(rows.mapInArrow(_nearest_of(_grouped(near, "block"), degree), EDGE), degree).filter("u <> v")
 
 
 def around(graph: DataFrame, degree: int, live: bool = False) -> DataFrame:
     """(w, m, new): each node with its neighbours, and with the nearest of the nodes that have it as a neighbour; in order of
     w and m, and in one task for each w.  live: only of nodes with something new around them."""
-    back = nearest_rows(graph, degree, "v")
-    both = graph.select(F.col("u").alias("w"), F.col("v").alias("m"), "new").union(back.select(F.col("v").alias("w"), F.col("u").alias("m"), "new"))
+    namers = graph.mapInArrow(_reduced(degree, "v"), EDGE)
+    both = graph.select(F.col("u").alias("w"), "d", F.col("v").alias("m"), "new", F.lit(False).alias("back"))
+    both = both.union(namers.select(F.col("v").alias("w"), "d", F.col("u").alias("m"), "new", F.lit(True).alias("back")))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), schema=pa.schema([("w", pa.int64()), ("m", pa.int64()), ("new", pa.bool_())]))
-        w, m, new = (t.column(c).to_numpy(zero_copy_only=False) for c in ("w", "m", "new"))
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        w, d, m, new, back = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(5))
+        order = np.lexsort((m, d, w, back))
+        w, m, new, back = w[order], m[order], new[order], back[order]
+        begin = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (back[1:] != back[:-1])]))
+        few = ~back | (np.arange(len(w)) - np.repeat(begin, np.diff(np.append(begin, len(w)))) < degree)
+        w, m, new = w[few], m[few], new[few]
         order = np.lexsort((~new, m, w))
         w, m, new = w[order], m[order], new[order]
         keep = np.ones(len(w), bool)
         keep[1:] = (w[1:] != w[:-1]) | (m[1:] != m[:-1])
-        if live and len(w):
+        if live:
             begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             keep &= np.repeat(np.maximum.reduceat(new, begin), np.diff(np.append(begin, len(w))))
         yield from pa.table([w[keep], m[keep], new[keep]], names=["w", "m", "new"]).to_batches(1 << 16)
@@ -258,7 +287,7 @@ def descend(graph: DataFrame, points: DataFrame, degree: int) -> DataFrame:
         a = cat(a, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(cat(dist, np.float64)), pa.array(cat(b, np.int64)), pa.array(np.ones(len(a), bool))], names=["u", "d", "v", "new"])
 
-    found = met.repartition(n, "w").sortWithinPartitions("w", "m").mapInArrow(_grouped(joined, "w"), EDGE)
+    found = met.repartition(n, "w").sortWithinPartitions("w", "m").mapInArrow(_nearest_of(_grouped(joined, "w"), degree), EDGE)
     old = graph.select("u", "d", "v", F.lit(False).alias("new"))
     return written(nearest_rows(old.union(found), degree), "graph")
 
@@ -274,13 +303,15 @@ def build(distinct: DataFrame, degree: int = DEGREE, trees: int = TREES, chunk:
     return points, graph
 
 
-def search(graph: DataFrame, points: DataFrame, entries: DataFrame, degree: int = DEGREE, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+def search(graph: DataFrame, points: DataFrame, entries: DataFrame, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
     """(q, near): the nodes in the beam of each query at the end, as array<struct<d, u>>.
-    entries: (q, s, z, entry), entry being an array of nodes, and the query as points have theirs.  A hop expands nodes that
-    it has not expanded before, so the search ends."""
-    kind = "array<struct<d:double,u:long>>"
+    entries: (q, s, z, entry), entry being an array of nodes, and the query as points have theirs.  What a beam has not expanded yet
+    is new; a hop expands all of it.  What has left a beam is farther than all in it ever after and does not return, so the
+    search ends."""
+    n = partitions(points.sparkSession)
     vectors = points.select(F.col("node").alias("n"), F.col("s").alias("t"), F.col("z").alias("y"))
     links = written(around(graph, degree).select(F.col("w").alias("n"), F.col("m").alias("to")), "links")
+    entries = written(entries, "entries")
     asked = entries.select(F.col("q").alias("_q"), "s", "z")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,26 +319,26 @@ def search(graph: DataFrame, points: DataFrame, entries: DataFrame, degree: int
             if batch.num_rows:
                 t = pa.Table.from_batches([batch])
                 d = np.sqrt(np.square(_vectors(t) - _vectors(t, "t", "y")).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d), batch.column(1)], names=["q", "d", "u"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d), batch.column(1), pa.array(np.ones(len(d), bool))], names=["u", "d", "v", "new"])
 
     def distance(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(vectors, pairs["u"] == vectors["n"]).join(asked, F.col("q") == F.col("_q")).select("q", "u", "s", "z", "t", "y")
-        return met.mapInArrow(measured, "q long, d double, u long")
-
-    first = distance(entries.select("q", F.explode("entry").alias("u")).distinct())
-    state = first.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "u"))), 1, beam).alias("near")).withColumn("done", F.array().cast("array<long>"))
-    state = written(state, "beam")
-    open_ = F.array_except(F.transform("near", lambda e: e["u"]), F.col("done"))
-    while state.filter(F.size(open_) > 0).limit(1).count():
-        go = state.select("q", F.explode(F.slice(open_, 1, expand)).alias("u"))
-        found = go.join(links, go["u"] == links["n"]).select("q", F.col("to").alias("u")).distinct()
-        old = state.select("q", F.explode(F.array_union(F.transform("near", lambda e: e["u"]), F.col("done"))).alias("u"))
-        new = distance(found.join(old, ["q", "u"], "left_anti")).groupBy("q").agg(F.collect_list(F.struct("d", "u")).alias("more"))
-        now = state.join(new, "q", "left")
-        near = F.slice(F.array_sort(F.concat("near", F.coalesce("more", F.array().cast(kind)))), 1, beam)
-        done = F.array_union("done", F.slice(open_, 1, expand))
-        state = written(now.select("q", near.alias("near"), done.alias("done")), "beam")
-    return state.select("q", "near")
+        once = pairs.repartition(n, "u").distinct()
+        met = once.join(vectors, once["u"] == vectors["n"]).join(asked, F.col("q") == F.col("_q")).select("q", "u", "s", "z", "t", "y")
+        return met.mapInArrow(_nearest_of(measured, beam), EDGE)
+
+    def beams(rows: DataFrame) -> DataFrame:
+        once = rows.repartition(n, "u").groupBy("u", "v").agg(F.min("d").alias("d"), F.bool_and("new").alias("new"))
+        held = once.groupBy(F.col("u").alias("q")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("v").alias("u"), "new"))), 1, beam).alias("near"))
+        return written(held, "beam")
+
+    state = beams(distance(entries.select("q", F.explode("entry").alias("u"))))
+    while state.filter(F.exists("near", lambda e: e["new"])).limit(1).count():
+        each = state.select("q", F.explode("near").alias("e"))
+        go = each.filter("e.new").select("q", F.col("e.u").alias("at"))
+        found = go.join(links, go["at"] == links["n"]).select("q", F.col("to").alias("u"))
+        old = each.select(F.col("q").alias("u"), "e.d", F.col("e.u").alias("v"), F.lit(False).alias("new"))
+        state = beams(old.union(distance(found)))
+    return state.select("q", F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["u"].alias("u"))).alias("near"))
 
 
 def reranked(found: DataFrame, distinct: DataFrame, queries: DataFrame, k: int) -> DataFrame:

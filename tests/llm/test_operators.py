@@ -286,6 +286,20 @@ def test_neighbours_of_the_tables_length(spark):
     assert {r.query_id for r in ann.neighbours(src, F.col("vec_id") % 10 == 0, k=2).collect()} == {0}
 
 
+def test_neighbours_do_not_follow_the_number_of_tasks(spark):
+    """The chunks that the graph starts from are cut at quantiles, not where tasks end."""
+    x = np.random.default_rng(8).standard_normal((900, 8))
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>").mapInArrow(ann._packed, "node long, s double, z binary")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (2, 23):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got.append(sorted((r.u, r.v) for r in ann.start(made, 2, 100, 5).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and len(got[0]) == 900 * 5
+
+
 # 6
 
 def test_mixing(spark, docs):
