@@ -367,6 +367,26 @@ def sequences_of(texts):
     return mixing.sequences(*raw(pa.array(texts)))
 
 
+def test_mixing_finds_tokens_by_their_leading_bits():
+    r = np.random.default_rng(4)
+    for hot in (np.unique(r.integers(-(2**63), 2**63 - 1, 5000)), np.arange(-300, 300) * 3, np.array([2**63 - 1]), np.array([-(2**63)])):
+        token = np.concatenate([hot, r.integers(-(2**63), 2**63 - 1, 5000), np.arange(-1000, 1000), [2**63 - 1, -(2**63)]])
+        assert (mixing.position(hot, mixing.index(hot), token) == np.minimum(np.searchsorted(hot, token), len(hot) - 1)).all()
+
+
+def test_mixing_sequences_end_with_their_row():
+    texts = ["", "a", "Ab", "", "É日本", "a longer text"]
+    key, at = sequences_of(texts)
+    want = []
+    for t in texts:
+        data = [mixing.END] * 5 + [*decontaminate.lower_ascii(t).encode(), mixing.END]
+        want += [int.from_bytes(bytes(data[i : i + 6]), "big") for i in range(len(data) - 5)]
+    assert key.tolist() == want and np.diff(at).tolist() == [len(t.encode()) + 1 for t in texts]
+    data, offsets = raw(pa.array(texts))
+    part, _ = mixing.sequences(data, offsets[3:])
+    assert part.tolist() == want[at[3] :]
+
+
 def test_mixing_against_brute_force():
     m = random_mixer()
     texts = ["", "a", prose(400), "É 日本 x" * 30, prose(60), prose(60)]
