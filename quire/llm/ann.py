@@ -36,7 +36,7 @@ CHUNK = 1024
 BLOCKS = 2048
 #: Rounds end when this part of all neighbours, or less, is new.
 SETTLED = 0.01
-BEAM = 160
+BEAM = 320
 QUERY_BLOCK = 2048
 
 
